@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .mixing import op2_mixing
 from .sharding import op6_sharding
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_sharding": op6_sharding,
 }
