@@ -5,10 +5,12 @@ from __future__ import annotations
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .mixing import op2_mixing
 from .sharding import op6_sharding
+from .simhash import op8_simhash
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_sharding": op6_sharding,
+    "op8_simhash": op8_simhash,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}
