@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .mixing import op2_mixing
 from .sharding import op6_sharding
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_sharding": op6_sharding,
+    "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}
