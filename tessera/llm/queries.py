@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .language_id import op9_language_id
 from .mixing import op2_mixing
 from .sharding import op6_sharding
 from .simhash import op8_simhash
@@ -14,5 +15,6 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op9_language_id": op9_language_id,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}
