@@ -8,6 +8,7 @@ from .language_id import op9_language_id
 from .mixing import op2_mixing
 from .sharding import op6_sharding
 from .simhash import op8_simhash
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op2_mixing": op2_mixing,
@@ -16,5 +17,6 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}
