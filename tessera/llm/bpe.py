@@ -6,7 +6,6 @@ import base64
 import hashlib
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -21,6 +20,8 @@ from .common import table
 
 #: Words whose ids a task remembers; beyond that it forgets them all and starts anew.
 CACHE_WORDS = 500_000
+#: New words that one replay of the merges takes.
+BATCH_WORDS = 200_000
 #: Unicode white space, spelled out: regex's own \s also takes the ASCII separators 1C-1F.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -44,100 +45,112 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(spelled)
 
 
-def merge_pieces(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """Token ids of every piece, all merges applied in rank order over the whole list.
-
-    Pieces lie one after another in linked slots. An inverted index leads from
-    the rank of a pair to the slots where it stands; the lowest rank is taken
-    first everywhere, from the left, and a merge touches its two neighbours
-    only. A merge that makes a pair of lower rank than its own yields to it
-    before the rest of its slots go on, as piecewise merging would.
+class Merges:
+    """The merges of a rank file: which pairs of token ids join, and into what."""
+
+    #: Ranks that share a bucket of the inverted index, as a power of two.
+    BUCKET = 9
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.base = max(ranks.values()) + 2
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[left * self.base + right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.into = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        self.none = np.int32(self.base + (1 << self.BUCKET))
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or ``none``."""
+        key = left.astype(np.int64) * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.into[at], self.none)
+
+
+def merge_pieces(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pieces one after another, how many each has), all merges applied in rank order.
+
+    The bytes of all pieces lie in linked slots. An inverted index leads from
+    pairs to the slots where they stand, in buckets of neighbouring ranks; the
+    lowest bucket is taken first, and from it, for every piece at once, its
+    lowest pair, the leftmost of equals. A merge writes its slot and looks up
+    the pairs with its two neighbours only, which enter the index anew, in a
+    lower bucket too if that is their rank. Each piece thus sees its merges in
+    the order in which it would apply them alone.
     """
-    token: list[bytes] = []
-    nxt: list[int] = []
-    prv: list[int] = []
-    heads: list[int] = []
-    single = [bytes([b]) for b in range(256)]
-    index: dict[int, list[int]] = defaultdict(list)
-    whole: dict[int, int] = {}
-    rank_of = ranks.get
-    for p, piece in enumerate(pieces):
-        rank = rank_of(piece)
-        heads.append(len(token))
-        if rank is not None:
-            whole[p] = rank
-            continue
-        first, last = len(token), len(token) + len(piece) - 1
-        for i, byte in enumerate(piece):
-            at = first + i
-            token.append(single[byte])
-            prv.append(at - 1 if i else -1)
-            nxt.append(at + 1 if at < last else -1)
-            if at < last:
-                r = rank_of(piece[i : i + 2])
-                if r is not None:
-                    index[r].append(at)
-    heap = list(index)
-    heapq.heapify(heap)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    n = int(lengths.sum())
+    token = np.append(merges.bytes[np.frombuffer(b"".join(pieces), np.uint8)], np.int32(merges.base - 1))
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    ends = np.cumsum(lengths)
+    filled = lengths > 0
+    # The slot n is beyond every piece: its token joins with nothing.
+    after[ends[filled] - 1] = n
+    after[n:] = n
+    before[(ends - lengths)[filled]] = n
+    alive = np.ones(n + 1, bool)
+    rank = np.append(merges.rank(token[:-1], token[after[:-1]]), merges.none) if n else np.array([merges.none])
+    index: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def enter(slots: np.ndarray) -> None:
+        slots = slots[rank[slots] != merges.none]
+        if not len(slots):
+            return
+        bucket = (rank[slots] >> merges.BUCKET).astype(np.int16)
+        order = np.argsort(bucket, kind="stable")
+        slots, bucket = slots[order], bucket[order]
+        cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+        for b, part in zip(bucket[np.concatenate([[0], cuts])].tolist(), np.split(slots, cuts)):
+            if b not in index:
+                index[b] = []
+                heapq.heappush(heap, b)
+            index[b].append(part)
+
+    enter(np.arange(n, dtype=np.int32))
     while heap:
-        r = heapq.heappop(heap)
-        slots = index.pop(r, None)
-        if not slots:
+        b = heapq.heappop(heap)
+        slots = np.sort(np.concatenate(index.pop(b)))
+        slots = slots[np.concatenate([[True], slots[1:] != slots[:-1]]) & ((rank[slots] >> merges.BUCKET) == b)]
+        if not len(slots):
             continue
-        slots.sort()
-        for k, at in enumerate(slots):
-            right = nxt[at]
-            left_token = token[at]
-            if right < 0 or not left_token:
-                continue
-            merged = left_token + token[right]
-            if rank_of(merged) != r:
-                continue
-            after = nxt[right]
-            token[at], token[right], nxt[at] = merged, b"", after
-            lower = False
-            if after >= 0:
-                prv[after] = at
-                s = rank_of(merged + token[after])
-                if s is not None:
-                    if s not in index:
-                        heapq.heappush(heap, s)
-                    index[s].append(at)
-                    lower |= s < r
-            before = prv[at]
-            if before >= 0:
-                s = rank_of(token[before] + merged)
-                if s is not None:
-                    if s not in index:
-                        heapq.heappush(heap, s)
-                    index[s].append(before)
-                    lower |= s < r
-            if lower and k + 1 < len(slots):
-                if r not in index:
-                    heapq.heappush(heap, r)
-                index[r].extend(slots[k + 1 :])
-                break
-    out = []
-    for p in range(len(pieces)):
-        if p in whole:
-            out.append([whole[p]])
-            continue
-        ids, at = [], heads[p] if pieces[p] else -1
-        while at >= 0:
-            ids.append(ranks[token[at]])
-            at = nxt[at]
-        out.append(ids)
-    return out
+        own, r = owner[slots], rank[slots]
+        starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+        least = np.repeat(np.minimum.reduceat(r, starts), np.diff(np.append(starts, len(slots))))
+        chosen = np.flatnonzero(r == least)
+        chosen = chosen[np.concatenate([[True], own[chosen[1:]] != own[chosen[:-1]]])]
+        rest = np.ones(len(slots), bool)
+        rest[chosen] = False
+        at = slots[chosen]
+        right = after[at]
+        beyond, left = after[right], before[at]
+        token[at] = r[chosen]
+        alive[right] = False
+        rank[right] = merges.none
+        after[at] = beyond
+        before[beyond] = at
+        rank[at] = merges.rank(token[at], token[beyond])
+        rank[left] = merges.rank(token[left], token[at])
+        rank[n] = merges.none
+        enter(np.concatenate([slots[rest], at, left]))
+    kept = alive[:n]
+    return token[:n][kept], np.bincount(owner[kept], minlength=len(pieces))
 
 
 class Codec:
     """Encodes and decodes lists of texts; remembers the pieces it has seen, up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_words: int = CACHE_WORDS) -> None:
-        self.ranks, self.split, self.bound = ranks, splitter(pattern).findall, cache_words
+        self.ranks, self.merges, self.split, self.bound = ranks, Merges(ranks), splitter(pattern).findall, cache_words
         self.words = re.compile(WORDS).findall if pattern == public_pattern() else self.split
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.seen: dict[str, list[int]] = {}
+        self.tokens = {rank: token for token, rank in sorted(ranks.items(), key=lambda x: x[1])}
+        self.seen: dict[str, bytes] = {}  # ids as int32, one after another
 
     def _learn(self, words: set[str]) -> None:
         new = words.difference(self.seen)
@@ -145,19 +158,25 @@ class Codec:
             self.seen = {}
             new = words
         new = list(new)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            cut = [self.split(w) for w in part]
+        for i in range(0, len(new), BATCH_WORDS):
+            part = new[i : i + BATCH_WORDS]
+            # A word of letters alone is one piece.
+            cut = [[w] if w.isalpha() or w[:1] == " " and w[1:].isalpha() else self.split(w) for w in part]
             pieces = list(set(chain.from_iterable(cut)))
-            ids = dict(zip(pieces, merge_pieces([p.encode("utf-8") for p in pieces], self.ranks)))
-            self.seen.update((w, list(chain.from_iterable(map(ids.__getitem__, c)))) for w, c in zip(part, cut))
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text; null texts have none."""
+            raw = [p.encode("utf-8") for p in pieces]
+            whole = [self.ranks.get(x) for x in raw]
+            flat, counts = merge_pieces([x for x, r in zip(raw, whole) if r is None], self.merges)
+            packed, ends = flat.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            merged = (packed[a:b] for a, b in zip([0, *ends], ends))
+            ids = {p: next(merged) if r is None else r.to_bytes(4, "little") for p, r in zip(pieces, whole)}
+            self.seen.update((w, ids[c[0]] if len(c) == 1 else b"".join(map(ids.__getitem__, c))) for w, c in zip(part, cut))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as int32; null texts have none."""
         cut = [self.words(t or "") for t in texts]
-        self._learn(set().union(*cut))
+        self._learn(set(chain.from_iterable(cut)))
         seen = self.seen.__getitem__
-        return [list(chain.from_iterable(map(seen, words))) for words in cut]
+        return [np.frombuffer(b"".join(map(seen, words)), "<i4") for words in cut]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of ids; any ids of the vocabulary can be decoded, also where the bytes are no UTF-8."""
@@ -175,7 +194,7 @@ def _vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _portions(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def _portions(texts: list[str | None], chars: int = 12_000_000) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of bounded total length (one text at least), so that pieces in memory are bounded."""
     start, held = 0, 0
     for i, t in enumerate(texts):
@@ -203,7 +222,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
             for at, texts in _portions(batch.column(1).to_pylist()):
                 ids = codec.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(chain.from_iterable(ids)), pa.int32()))
+                arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), arrays], ["id", "token_ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -236,7 +255,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
         for batch in batches:
             for at, texts in _portions(batch.column(1).to_pylist()):
                 lengths, ids_sha, bytes_sha = [], [], []
-                for ids in codec.encode(texts):
+                for ids in map(np.ndarray.tolist, codec.encode(texts)):
                     lengths.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                     bytes_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
