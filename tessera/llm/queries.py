@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .html_text import op1_html_text
 from .language_id import op9_language_id
 from .mixing import op2_mixing
 from .sharding import op6_sharding
@@ -11,6 +12,7 @@ from .simhash import op8_simhash
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_sharding": op6_sharding,
