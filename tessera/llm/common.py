@@ -34,9 +34,9 @@ class Workspace:
         app = spark.sparkContext.applicationId
         self.root = f"{shared_dir(spark)}/tessera/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -44,6 +44,15 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few numbers each that may be broadcast; beyond it the same join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, a staged table of short rows, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
