@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, small, table
 from .components import components
 
 SEED = 42
@@ -238,5 +238,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose group has a smaller id: one document of each group stays.
+
+    Rows that share the id that stays are one document and all stay; rows
+    without an id stay where their group has none at all.
+    """
+    work = Workspace(docs.sparkSession, "simhash_dedup")
+    groups = simhash_groups(docs, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
+    gone = work.stage(groups.select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    return docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def op8_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
