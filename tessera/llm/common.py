@@ -45,7 +45,7 @@ class Workspace:
 
 
 #: Rows of a few numbers each that may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
