@@ -1,6 +1,456 @@
-"""Queries of the slide operators and their DuckDB equivalents."""
+"""Queries of the slide operators over derived fixtures, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import geometry as geo
+from tessera.functions import metadata as md
+from tessera.functions import pixels as px
+from tessera.functions.paths import backend_of, feature_list_error, is_supported, output_paths, parse_feature_list
+from tessera.operators import contours as ct
+from tessera.operators import features as ft
+from tessera.operators import grid as gr
+from tessera.operators import resume as rs
+from tessera.plans.catalog import KNOWN, Encoder, encoders, rgb_stats
+from tessera.plans.fixtures import fixture, with_fixtures
+from tessera.sources.mpp_csv import attach_mpp, mpp_overrides
+
+PATCH, STEP, TARGET, MASK_W, MASK_H = 256, 256, 20, 160, 120
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(fixtures: str = "", sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = with_fixtures(fixtures, sql)
+        return fn
+
+    return add
+
+
+def _meta(spark: SparkSession, sf: str) -> DataFrame:
+    props = fixture(spark, sf, "fx_props")
+    return props.groupBy("slide_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("meta"))
+
+
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    levels = fixture(spark, sf, "fx_levels").groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("lvl", "ds"))).alias("l"))
+    return levels.select("slide_id", F.transform("l", lambda x: x["ds"]).alias("ds"))
+
+
+def _polygons(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fixture(spark, sf, "fx_contours").groupBy("slide_id", "contour_idx").agg(F.array_sort(F.collect_list(F.struct("v", "x", "y"))).alias("l"))
+    return rows.select("slide_id", "contour_idx", F.transform("l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+
+
+def _holes(spark: SparkSession, sf: str) -> DataFrame:
+    """Square holes as polygons in mask pixels, with their areas."""
+    side = F.col("side")
+    corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
+    zero = F.lit(0)
+    points = F.array(corner(zero, zero), corner(side, zero), corner(side, side), corner(zero, side))
+    out = fixture(spark, sf, "fx_holes").withColumn("points", points)
+    return out.withColumn("area", geo.area(F.col("points")))
+
+
+def _geometry(spark: SparkSession, sf: str) -> DataFrame:
+    slides = fixture(spark, sf, "fx_slides").join(_levels(spark, sf), "slide_id")
+    g = geo.patch_geometry(F.col("ds"), F.col("mag"), F.lit(TARGET), F.lit(PATCH), F.lit(STEP))
+    return slides.withColumn("g", g).where("g is not null").select("slide_id", "stem", "w", "h", "mag", "g.*")
+
+
+def _scaled(spark: SparkSession, sf: str) -> DataFrame:
+    """Contours and kept holes in level-0 coordinates with their slide's patch geometry."""
+    slides = _geometry(spark, sf)
+    holes = ct.top_holes(_holes(spark, sf)).select("slide_id", "hole_idx", "parent_idx", "points")
+    nested = ct.attach_holes(_polygons(spark, sf), holes)
+    sx, sy = F.col("w").cast("double") / F.lit(float(MASK_W)), F.col("h").cast("double") / F.lit(float(MASK_H))
+    joined = nested.join(slides, "slide_id")
+    return joined.withColumns({"points": geo.scale_points(F.col("points"), sx, sy), "holes": F.transform("holes", lambda h: geo.scale_points(h, sx, sy))})
+
+
+def _patches(spark: SparkSession, sf: str) -> DataFrame:
+    return gr.with_ordinals(gr.tissue_grid(_scaled(spark, sf)))
+
+
+LEVEL_SQL = """
+geo0 AS (SELECT s.*, CAST(s.mag AS DOUBLE) / 20 AS dd FROM fx_slides s WHERE s.mag IS NOT NULL AND s.mag >= 20),
+lv AS (SELECT g.slide_id, g.dd, l.lvl, l.ds, first_value(l.ds) OVER (PARTITION BY g.slide_id ORDER BY l.lvl) AS ds0 FROM geo0 g JOIN fx_levels l USING (slide_id)),
+pick AS (SELECT slide_id, any_value(dd) AS dd, coalesce(min(CASE WHEN abs(ds - dd) < 0.01 THEN lvl END),
+    CASE WHEN any_value(dd) >= any_value(ds0) THEN max(CASE WHEN ds <= dd THEN lvl END) ELSE min(CASE WHEN ds >= dd THEN lvl END) END) AS level,
+    min(CASE WHEN abs(ds - dd) < 0.01 THEN lvl END) AS near FROM lv GROUP BY slide_id),
+geo AS (SELECT s.slide_id, s.stem, s.w, s.h, s.mag, p.level, CAST(round_even(256 * p.dd, 0) AS BIGINT) AS patch_src, CAST(round_even(256 * p.dd, 0) AS BIGINT) AS step_src,
+    CAST(256 * s.mag // 20 AS BIGINT) AS patch_l0, greatest(1, CAST(round_even(round_even(256 * p.dd, 0) / l.ds, 0) AS BIGINT)) AS read
+  FROM geo0 s JOIN pick p USING (slide_id) JOIN fx_levels l ON l.slide_id = s.slide_id AND l.lvl = p.level)"""
+
+SCALED_SQL = LEVEL_SQL + """,
+pts AS (SELECT c.slide_id, c.contour_idx, c.v, CAST(trunc(CAST(c.x AS FLOAT) * CAST(g.w / CAST(160 AS DOUBLE) AS FLOAT)) AS BIGINT) AS x,
+    CAST(trunc(CAST(c.y AS FLOAT) * CAST(g.h / CAST(120 AS DOUBLE) AS FLOAT)) AS BIGINT) AS y FROM fx_contours c JOIN geo g USING (slide_id)),
+box AS (SELECT slide_id, contour_idx, min(x) AS bx, min(y) AS by, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh FROM pts GROUP BY ALL),
+grid AS (SELECT b.slide_id, b.contour_idx, unnest(range(b.by, b.by + b.bh, g.step_src)) AS y, b.bx, b.bw, g.step_src, g.patch_src FROM box b JOIN geo g USING (slide_id)),
+cells AS (SELECT slide_id, contour_idx, y, unnest(range(bx, bx + bw, step_src)) AS x, patch_src FROM grid)"""
+
+TISSUE_SQL = SCALED_SQL + """,
+edges AS (SELECT slide_id, contour_idx, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by
+  FROM pts WINDOW w AS (PARTITION BY slide_id, contour_idx ORDER BY v)),
+kept_holes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY side * side DESC, hole_idx) AS rk FROM fx_holes WHERE side * side >= 16) WHERE rk <= 10),
+corners AS (SELECT h.slide_id, h.parent_idx AS contour_idx, h.hole_idx, k.k, h.x0 + CASE WHEN k.k IN (1, 2) THEN h.side ELSE 0 END AS x, h.y0 + CASE WHEN k.k IN (2, 3) THEN h.side ELSE 0 END AS y
+  FROM kept_holes h CROSS JOIN (VALUES (0),(1),(2),(3)) AS k(k)),
+hpts AS (SELECT c.slide_id, c.contour_idx, c.hole_idx, c.k, CAST(trunc(CAST(c.x AS FLOAT) * CAST(g.w / CAST(160 AS DOUBLE) AS FLOAT)) AS BIGINT) AS x,
+  CAST(trunc(CAST(c.y AS FLOAT) * CAST(g.h / CAST(120 AS DOUBLE) AS FLOAT)) AS BIGINT) AS y FROM corners c JOIN geo g USING (slide_id)),
+hedges AS (SELECT slide_id, contour_idx, hole_idx, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by
+  FROM hpts WINDOW w AS (PARTITION BY slide_id, hole_idx ORDER BY k)),
+centres AS (SELECT *, x + patch_src // 2 AS cx, y + patch_src // 2 AS cy, CAST(floor((patch_src // 2) * CAST(0.5 AS DOUBLE)) AS BIGINT) AS q FROM cells),
+probes AS (SELECT c.slide_id, c.contour_idx, c.x, c.y, c.cx + s.sx * c.q AS px, c.cy + s.sy * c.q AS py FROM centres c CROSS JOIN (VALUES (-1,-1),(-1,1),(1,-1),(1,1)) AS s(sx, sy)),
+hit AS (SELECT p.slide_id, p.contour_idx, p.x, p.y, p.px, p.py,
+    bool_or((e.bx - e.ax) * (p.py - e.ay) = (e.by - e.ay) * (p.px - e.ax) AND p.px BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND p.py BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by)) AS on_edge,
+    sum(CASE WHEN (e.ay > p.py) <> (e.by > p.py) AND CAST(p.px - e.ax AS DOUBLE) < CAST(e.bx - e.ax AS DOUBLE) * CAST(p.py - e.ay AS DOUBLE) / CAST(e.by - e.ay AS DOUBLE) THEN 1 ELSE 0 END) AS n
+  FROM probes p JOIN edges e USING (slide_id, contour_idx) GROUP BY ALL),
+inside AS (SELECT DISTINCT slide_id, contour_idx, x, y FROM hit WHERE on_edge OR n % 2 = 1),
+hhit AS (SELECT c.slide_id, c.contour_idx, c.x, c.y, e.hole_idx,
+    bool_or((e.bx - e.ax) * (c.cy - e.ay) = (e.by - e.ay) * (c.cx - e.ax) AND c.cx BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND c.cy BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by)) AS on_edge,
+    sum(CASE WHEN (e.ay > c.cy) <> (e.by > c.cy) AND CAST(c.cx - e.ax AS DOUBLE) < CAST(e.bx - e.ax AS DOUBLE) * CAST(c.cy - e.ay AS DOUBLE) / CAST(e.by - e.ay AS DOUBLE) THEN 1 ELSE 0 END) AS n
+  FROM centres c JOIN hedges e USING (slide_id, contour_idx) GROUP BY ALL),
+holed AS (SELECT DISTINCT slide_id, contour_idx, x, y FROM hhit WHERE NOT on_edge AND n % 2 = 1),
+tissue AS (SELECT i.* FROM inside i ANTI JOIN holed h USING (slide_id, contour_idx, x, y)),
+patches AS (SELECT t.slide_id, t.contour_idx, t.x, t.y, g.stem, g.mag, g.level, g.read, row_number() OVER (PARTITION BY t.slide_id ORDER BY t.contour_idx, t.y, t.x) - 1 AS patch_idx,
+  count(*) OVER (PARTITION BY t.slide_id) AS total FROM tissue t JOIN geo g USING (slide_id))"""
+
+LEVEL_FX, FULL_FX = "fx_slides fx_levels", "fx_slides fx_levels fx_contours fx_holes"
+
+
+@query("fx_slides", """
+SELECT filename, CASE WHEN s IN ('svs','tif','tiff','ndpi','vms','vmu','scn','mrxs','bif','biff','dcm','dicom') THEN 'openslide'
+  WHEN s IN ('png','jpg','jpeg','bmp','webp','gif') THEN 'image' END AS backend,
+  s IN ('svs','tif','tiff','ndpi','vms','vmu','scn','mrxs','bif','biff','dcm','dicom','png','jpg','jpeg','bmp','webp','gif') AS supported
+FROM (SELECT filename, lower(regexp_extract(filename, '\\.([^.]+)$', 1)) AS s FROM fx_slides)""")
+def format_detect(spark, sf):
+    return fixture(spark, sf, "fx_slides").select("filename", backend_of(F.col("filename")).alias("backend"), is_supported(F.col("filename")).alias("supported"))
+
+
+CSV_SQL = """good AS (SELECT row_no, regexp_extract(wsi, '([^/]*)\\.[^.]+$', 1) AS stem, TRY_CAST(trim(mpp) AS DOUBLE) AS mpp FROM fx_mpp_csv WHERE trim(wsi) <> ''),
+csv AS (SELECT stem, arg_max(mpp, row_no) AS mpp FROM good WHERE mpp > 0 GROUP BY stem)"""
+
+
+@query("fx_mpp_csv", "WITH " + CSV_SQL + " SELECT stem, mpp FROM csv")
+def mpp_csv_load(spark, sf):
+    return mpp_overrides(fixture(spark, sf, "fx_mpp_csv"))
+
+
+@query("fx_slides fx_mpp_csv", "WITH " + CSV_SQL + """
+SELECT s.slide_id, coalesce(c.mpp, s.mpp_meta) AS mpp, CASE WHEN coalesce(c.mpp, s.mpp_meta) BETWEEN 0.1 AND 10 THEN coalesce(c.mpp, s.mpp_meta) END AS valid_mpp,
+  CASE WHEN coalesce(c.mpp, s.mpp_meta) IS NULL THEN 'missing' WHEN coalesce(c.mpp, s.mpp_meta) NOT BETWEEN 0.1 AND 10 THEN 'out of range' END AS error
+FROM fx_slides s LEFT JOIN csv c USING (stem)""")
+def mpp_resolve(spark, sf):
+    out = attach_mpp(fixture(spark, sf, "fx_slides"), mpp_overrides(fixture(spark, sf, "fx_mpp_csv")))
+    return out.select("slide_id", "mpp", md.valid_mpp(F.col("mpp")).alias("valid_mpp"), md.mpp_error(F.col("mpp")).alias("error"))
+
+
+MPP_SQL = """m AS (SELECT slide_id, max(CASE WHEN k = 'aperio.MPP' THEN v END) AS own, max(CASE WHEN k = 'openslide.comment' THEN v END) AS comment,
+  max(CASE WHEN k = 'tiff.ImageDescription' THEN v END) AS descr, max(CASE WHEN k = 'tiff.XResolution' THEN v END) AS xres, lower(max(CASE WHEN k = 'tiff.ResolutionUnit' THEN v END)) AS unit,
+  max(CASE WHEN k = 'openslide.objective-power' THEN v END) AS pow FROM fx_props GROUP BY slide_id),
+e AS (SELECT slide_id, pow, coalesce(round_even(TRY_CAST(own AS DOUBLE), 4), round_even(TRY_CAST(regexp_extract(comment, '(?i)mpp\\s*[:=]\\s*([0-9]*\\.?[0-9]+)', 1) AS DOUBLE), 4),
+  round_even(TRY_CAST(regexp_extract(descr, '(?i)microns?\\s+per\\s+pixel[^0-9]*([0-9]*\\.?[0-9]+)', 1) AS DOUBLE), 4),
+  round_even(CASE unit WHEN 'centimeter' THEN 10000.0::DOUBLE WHEN 'inch' THEN 25400.0::DOUBLE END / TRY_CAST(xres AS DOUBLE), 4), round_even(10.0::DOUBLE / TRY_CAST(pow AS DOUBLE), 4)) AS mpp FROM m)"""
+
+
+@query("fx_props", "WITH " + MPP_SQL + " SELECT slide_id, mpp FROM e")
+def mpp_extract(spark, sf):
+    return _meta(spark, sf).select("slide_id", md.extract_mpp(F.col("meta")).alias("mpp"))
+
+
+@query("fx_props", "WITH " + MPP_SQL + """ SELECT slide_id, coalesce(CAST(trunc(TRY_CAST(pow AS DOUBLE)) AS INTEGER),
+  CASE WHEN mpp < 0.16 THEN 80 WHEN mpp < 0.2 THEN 60 WHEN mpp < 0.3 THEN 40 WHEN mpp < 0.6 THEN 20 WHEN mpp < 1.2 THEN 10 WHEN mpp < 2.4 THEN 5 END) AS mag FROM e""")
+def mag_infer(spark, sf):
+    return _meta(spark, sf).select("slide_id", md.extract_mag(F.col("meta"), md.extract_mpp(F.col("meta"))).alias("mag"))
+
+
+@query("fx_props", """WITH p AS (SELECT slide_id, lower(k) AS k, trim(v) AS v FROM fx_props WHERE v IS NOT NULL AND trim(v) <> '')
+SELECT slide_id, coalesce(max(CASE WHEN k = 'openslide.vendor' THEN v END), arg_min(v, k) FILTER (WHERE contains(k, 'vendor'))) AS vendor,
+  CAST(NULL AS VARCHAR) AS institution, CAST(NULL AS VARCHAR) AS stain FROM (SELECT DISTINCT slide_id FROM fx_props) LEFT JOIN p USING (slide_id) GROUP BY slide_id""")
+def meta_attrs(spark, sf):
+    attrs = _meta(spark, sf).select("slide_id", md.metadata_attrs(F.col("meta"), F.lit(None).cast("double"), F.lit(None).cast("int")).alias("a"))
+    return attrs.select("slide_id", *[F.try_element_at("a", F.lit(k)).alias(k) for k in ("vendor", "institution", "stain")])
+
+
+@query(LEVEL_FX, "WITH " + LEVEL_SQL + """ SELECT p.slide_id, p.level, CASE WHEN p.near IS NOT NULL THEN 1.0::DOUBLE WHEN p.dd >= l0.ds THEN p.dd / l.ds ELSE l.ds / p.dd END AS extra
+FROM pick p JOIN fx_levels l ON l.slide_id = p.slide_id AND l.lvl = p.level JOIN fx_levels l0 ON l0.slide_id = p.slide_id AND l0.lvl = 0""")
+def optimal_level(spark, sf):
+    slides = fixture(spark, sf, "fx_slides").where(f"mag >= {TARGET}").join(_levels(spark, sf), "slide_id")
+    return slides.select("slide_id", geo.optimal_level(F.col("ds"), F.col("mag").cast("double") / TARGET).alias("l")).select("slide_id", "l.level", "l.extra")
+
+
+@query(LEVEL_FX, "WITH " + LEVEL_SQL + " SELECT slide_id, level, patch_src, step_src, patch_l0, read, greatest(0, 256 - 256) AS overlap FROM geo")
+def patch_geometry(spark, sf):
+    return _geometry(spark, sf).select("slide_id", "level", "patch_src", "step_src", "patch_l0", "read", geo.overlap(F.lit(PATCH), F.lit(STEP)).alias("overlap"))
+
+
+@query(LEVEL_FX, """WITH t AS (SELECT s.*, greatest(1e-6, CAST(mag AS DOUBLE) / 1.25::DOUBLE) AS dd FROM fx_slides s WHERE mag IS NOT NULL),
+p AS (SELECT t.slide_id, coalesce(min(CASE WHEN abs(l.ds - dd) < 0.01 THEN lvl END), max(CASE WHEN l.ds <= dd THEN lvl END)) AS level FROM t JOIN fx_levels l USING (slide_id) GROUP BY t.slide_id),
+z AS (SELECT t.slide_id, p.level, greatest(1, CAST(round_even(t.w / l.ds, 0) AS BIGINT)) AS read_w, greatest(1, CAST(round_even(t.h / l.ds, 0) AS BIGINT)) AS read_h,
+  greatest(1, CAST(round_even(t.w / t.dd, 0) AS BIGINT)) AS out_w, greatest(1, CAST(round_even(t.h / t.dd, 0) AS BIGINT)) AS out_h
+  FROM t JOIN p USING (slide_id) JOIN fx_levels l ON l.slide_id = t.slide_id AND l.lvl = p.level)
+SELECT *, CASE WHEN out_w < read_w OR out_h < read_h THEN 'area' ELSE 'cubic' END AS interpolation FROM z""")
+def thumbnail_size(spark, sf):
+    slides = fixture(spark, sf, "fx_slides").where("mag is not null").join(_levels(spark, sf), "slide_id")
+    return slides.select("slide_id", geo.thumbnail_size(F.col("w"), F.col("h"), F.col("ds"), F.col("mag"), F.lit(1.25)).alias("t")).select("slide_id", "t.*")
+
+
+@query("fx_contours", "SELECT slide_id, contour_idx, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM fx_contours GROUP BY ALL")
+def contour_bbox(spark, sf):
+    return _polygons(spark, sf).select("slide_id", "contour_idx", geo.bounds(F.col("points")).alias("b")).select("slide_id", "contour_idx", "b.*")
+
+
+AREA_SQL = """e AS (SELECT slide_id, contour_idx, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny
+  FROM fx_contours WINDOW w AS (PARTITION BY slide_id, contour_idx ORDER BY v)),
+a AS (SELECT slide_id, contour_idx, abs(CAST(sum(x * ny - nx * y) AS DOUBLE)) / 2 AS area FROM e GROUP BY ALL)"""
+
+
+@query("fx_contours", "WITH " + AREA_SQL + " SELECT * FROM a")
+def contour_area(spark, sf):
+    return _polygons(spark, sf).select("slide_id", "contour_idx", geo.area(F.col("points")).alias("area"))
+
+
+@query("fx_slides fx_contours", """SELECT c.slide_id, c.contour_idx, c.v, CAST(trunc(CAST(c.x AS FLOAT) * CAST(s.w / CAST(160 AS DOUBLE) AS FLOAT)) AS BIGINT) AS x,
+  CAST(trunc(CAST(c.y AS FLOAT) * CAST(s.h / CAST(120 AS DOUBLE) AS FLOAT)) AS BIGINT) AS y FROM fx_contours c JOIN fx_slides s USING (slide_id)""")
+def contour_scale(spark, sf):
+    polygons = _polygons(spark, sf).join(fixture(spark, sf, "fx_slides").select("slide_id", "w", "h"), "slide_id")
+    scaled = geo.scale_points(F.col("points"), F.col("w").cast("double") / F.lit(160.0), F.col("h").cast("double") / F.lit(120.0))
+    return polygons.select("slide_id", "contour_idx", F.posexplode(scaled).alias("v", "p")).select("slide_id", "contour_idx", F.col("v").cast("bigint").alias("v"), "p.x", "p.y")
+
+
+@query("fx_contours", "WITH " + AREA_SQL + " SELECT * FROM a WHERE area >= CAST(0.03 AS DOUBLE) * 19200")
+def tissue_filter(spark, sf):
+    return ct.tissue_filter(_polygons(spark, sf), 0.03, MASK_W * MASK_H).select("slide_id", "contour_idx", "area")
+
+
+@query("fx_holes", """SELECT slide_id, hole_idx, parent_idx, CAST(side * side AS DOUBLE) AS area FROM (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY side * side DESC, hole_idx) AS rk
+  FROM fx_holes WHERE side * side >= 16) WHERE rk <= 10""")
+def hole_topk(spark, sf):
+    return ct.top_holes(_holes(spark, sf)).select("slide_id", "hole_idx", "parent_idx", "area")
+
+
+@query("fx_slides fx_levels fx_contours", "WITH " + SCALED_SQL + " SELECT slide_id, contour_idx, x, y, row_number() OVER (PARTITION BY slide_id ORDER BY contour_idx, y, x) - 1 AS patch_idx FROM cells")
+def patch_grid(spark, sf):
+    rows = gr.patch_grid(_scaled(spark, sf)).select("slide_id", "contour_idx", "x", "y")
+    return gr.with_ordinals(rows).drop("total")
+
+
+@query(FULL_FX, "WITH " + TISSUE_SQL + " SELECT slide_id, contour_idx, x, y FROM tissue")
+def in_tissue(spark, sf):
+    return gr.tissue_grid(_scaled(spark, sf)).select("slide_id", "contour_idx", "x", "y")
+
+
+@query(FULL_FX, "WITH " + TISSUE_SQL + """ SELECT slide_id, patch_idx, substr(stem || '__x' || x || '_y' || y || '_rw' || read || '_rh' || read || '_lv' || level
+  || '_mag' || mag || '_tmag20_total' || total, 1, 160) AS passport FROM patches""")
+def passports(spark, sf):
+    p = _patches(spark, sf)
+    label = gr.passport(*[F.col(c) for c in ("stem", "x", "y", "read", "read", "level", "mag")], F.lit(TARGET), F.col("total"))
+    return p.select("slide_id", "patch_idx", label.alias("passport"))
+
+
+@query(FULL_FX, "WITH " + TISSUE_SQL + " SELECT slide_id, count(*) AS num_patches FROM tissue GROUP BY slide_id")
+def patch_counts(spark, sf):
+    return gr.tissue_grid(_scaled(spark, sf)).groupBy("slide_id").agg(F.count("*").alias("num_patches"))
+
+
+@query(FULL_FX, "WITH " + TISSUE_SQL + """, again AS (SELECT slide_id, contour_idx, x, y FROM tissue UNION ALL SELECT slide_id, 2, x, y FROM tissue WHERE contour_idx = 0)
+SELECT slide_id, x, y, count(*) AS n FROM again GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_patches(spark, sf):
+    rows = _scaled(spark, sf)
+    rows = rows.unionByName(rows.where("contour_idx = 0").withColumn("contour_idx", F.lit(2).cast("bigint")))
+    return gr.duplicates(gr.tissue_grid(rows))
+
+
+def _embeddings(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet")
+
+
+MASK_SQL = "mask AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) + 0.5 AS m FROM embeddings, range(64) t(i))"
+
+
+@query("", "WITH " + MASK_SQL + " SELECT vec_id, i, m > 0.5 AS tissue FROM mask")
+def mask_binarize(spark, sf):
+    rows = _embeddings(spark, sf).select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    return rows.select("vec_id", F.col("i").cast("bigint").alias("i"), ((F.col("e").cast("double") + 0.5) > 0.5).alias("tissue"))
+
+
+@query("", "WITH " + MASK_SQL + """ SELECT m.vec_id, t.y, t.x, m.m > 0.5 AS tissue FROM (SELECT CAST(a.range AS BIGINT) AS y, CAST(b.range AS BIGINT) AS x FROM range(12) a, range(20) b) t
+JOIN mask m ON m.i = least(CAST(floor((t.y + 0.5) * 8 / 12) AS BIGINT), 7) * 8 + least(CAST(floor((t.x + 0.5) * 8 / 20) AS BIGINT), 7)""")
+def mask_resize_nearest(spark, sf):
+    rows = _embeddings(spark, sf).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    at = px.nearest_index(F.col("y"), F.lit(8), F.lit(12)) * 8 + px.nearest_index(F.col("x"), F.lit(8), F.lit(20))
+    value = F.get("embedding", at.cast("int")).cast("double") + 0.5
+    return rows.select("vec_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), (value > 0.5).alias("tissue"))
+
+
+PIXEL_SQL = """px AS (SELECT vec_id, i, CASE vec_id % 4 WHEN 0 THEN floor(a * 100) WHEN 1 THEN 255 - floor(a * 10) ELSE least(255, floor(a * 800)) END AS v
+  FROM (SELECT vec_id, i, abs(CAST(embedding[i + 1] AS DOUBLE)) AS a FROM embeddings, range(64) t(i))),
+rgb AS (SELECT p.vec_id, p.i, CAST(p.v AS BIGINT) AS r, CAST(q.v AS BIGINT) AS g, CAST(s.v AS BIGINT) AS b FROM px p JOIN px q ON q.vec_id = p.vec_id AND q.i = (p.i + 21) % 64 JOIN px s ON s.vec_id = p.vec_id AND s.i = (p.i + 42) % 64),
+frac AS (SELECT vec_id, avg(CASE WHEN (r * 4899 + g * 9617 + b * 1868 + 8192) >> 14 < 50 THEN 1 ELSE 0 END) AS dark,
+  avg(CASE WHEN (CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE (510 * (greatest(r, g, b) - least(r, g, b)) + greatest(r, g, b)) // (2 * greatest(r, g, b)) END) < 15 AND greatest(r, g, b) >= 200 THEN 1 ELSE 0 END) AS blank
+  FROM rgb GROUP BY vec_id)"""
+
+
+def _pixels(spark, sf):
+    a = lambda k: F.abs(F.get("embedding", (F.col("i") + k) % 64).cast("double"))
+    kind = F.col("vec_id") % 4
+    value = lambda k: F.when(kind == 0, F.floor(a(k) * 100)).when(kind == 1, 255 - F.floor(a(k) * 10)).otherwise(F.least(F.lit(255), F.floor(a(k) * 800)))
+    rows = _embeddings(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return rows.select("vec_id", "i", value(0).alias("r"), value(21).alias("g"), value(42).alias("b"))
+
+
+def _shares(spark, sf):
+    rgb = [F.col(c) for c in "rgb"]
+    return _pixels(spark, sf).groupBy("vec_id").agg(px.dark_share(*rgb, 50).alias("dark"), px.blank_share(*rgb, 15).alias("blank"))
+
+
+@query("", "WITH " + PIXEL_SQL + " SELECT vec_id, dark, dark >= 0.7 AS is_black FROM frac")
+def black_patch(spark, sf):
+    return _shares(spark, sf).select("vec_id", "dark", (F.col("dark") >= px.MIN_SHARE).alias("is_black"))
+
+
+@query("", "WITH " + PIXEL_SQL + " SELECT vec_id, blank, blank >= 0.7 AS is_white FROM frac")
+def white_patch(spark, sf):
+    return _shares(spark, sf).select("vec_id", "blank", (F.col("blank") >= px.MIN_SHARE).alias("is_white"))
+
+
+@query("", "WITH " + PIXEL_SQL + " SELECT vec_id FROM frac WHERE NOT dark >= 0.7 AND NOT blank >= 0.7")
+def content_filter(spark, sf):
+    return _shares(spark, sf).where((F.col("dark") < px.MIN_SHARE) & (F.col("blank") < px.MIN_SHARE)).select("vec_id")
+
+
+LISTS = ["uni_v1, resnet50", "UNI_V1 uni_v1", " , ", "nothing,resnet18 ", "clip_rn50\tplip,musk"]
+
+
+@query("", """SELECT * FROM (VALUES ('uni_v1, resnet50', 'uni_v1|resnet50', NULL), ('UNI_V1 uni_v1', 'uni_v1|uni_v1', 'duplicates: uni_v1'), (' , ', '', 'empty'),
+ ('nothing,resnet18 ', 'nothing|resnet18', 'unknown: nothing'), ('clip_rn50' || chr(9) || 'plip,musk', 'clip_rn50|plip|musk', NULL)) t(raw, names, error)""")
+def feature_list_parse(spark, sf):
+    rows = spark.createDataFrame([(x,) for x in LISTS], "raw string").withColumn("n", parse_feature_list(F.col("raw")))
+    return rows.select("raw", F.array_join("n", "|").alias("names"), feature_list_error(F.col("n"), sorted(KNOWN)).alias("error"))
+
+
+@query("fx_outputs", "SELECT slide_id, expected_total AS num_patches FROM fx_outputs GROUP BY ALL HAVING expected_total > 0")
+def existing_outputs(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("slide_stem"))
+    attrs = rows.select("slide_stem", F.lit(None).cast("bigint").alias("num_patches")).limit(0)
+    return rs.existing_outputs(attrs, rows).withColumnRenamed("slide_stem", "slide_id")
+
+
+@query("fx_outputs", "SELECT o_orderkey AS slide_id FROM orders ANTI JOIN (SELECT slide_id AS o_orderkey FROM fx_outputs) USING (o_orderkey)")
+def existing_slides(spark, sf):
+    slides = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("slide_id"))
+    return rs.pending(slides, fixture(spark, sf, "fx_outputs"), "slide_id")
+
+
+@query("fx_outputs", """SELECT s.slide_id, e.encoder FROM (SELECT DISTINCT slide_id FROM fx_outputs) s CROSS JOIN (VALUES ('a'),('n'),('r')) e(encoder)
+LEFT JOIN fx_outputs o ON o.slide_id = s.slide_id AND lower(o.encoder) = e.encoder AND o.n_rows = o.expected_total WHERE o.slide_id IS NULL""")
+def missing_features(spark, sf):
+    outputs = fixture(spark, sf, "fx_outputs")
+    return rs.missing_features(outputs, spark.createDataFrame([("A",), ("N",), ("R",)], "encoder string"), rs.complete_encoders(outputs))
+
+
+@query("fx_outputs", """SELECT count(DISTINCT slide_id) * 2 AS required_units, count(*) FILTER (WHERE n_rows = expected_total AND encoder IN ('A', 'R')) AS done_units,
+count(DISTINCT slide_id) * 2 - count(*) FILTER (WHERE n_rows = expected_total AND encoder IN ('A', 'R')) AS missing_units FROM fx_outputs""")
+def feature_progress(spark, sf):
+    outputs = fixture(spark, sf, "fx_outputs")
+    return rs.progress(outputs, ["A", "R"], rs.complete_encoders(outputs))
+
+
+def _features(spark, sf):
+    rows = _embeddings(spark, sf).withColumn("patch_idx", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("bigint") - 1)
+    return rows.select(F.col("label").alias("slide_id"), "patch_idx", "embedding")
+
+
+@query("", """WITH f AS (SELECT label AS slide_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS patch_idx, embedding FROM embeddings)
+SELECT slide_id, patch_idx, patch_idx * 256 AS x, CAST(embedding[1] AS DOUBLE) AS first_value FROM f WHERE patch_idx < 40""")
+def feature_join(spark, sf):
+    features = _features(spark, sf)
+    patches = features.where("patch_idx < 40").select("slide_id", "patch_idx", (F.col("patch_idx") * 256).alias("x"))
+    return ft.join_features(patches, features).select("slide_id", "patch_idx", "x", F.get("embedding", F.lit(0)).cast("double").alias("first_value"))
+
+
+@query("", "SELECT label AS slide_id, count(*) AS n_rows, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim, min(len(embedding)) = max(len(embedding)) AS consistent FROM embeddings GROUP BY label")
+def feature_width_check(spark, sf):
+    return ft.width_check(_features(spark, sf))
+
+
+@query("", """SELECT vec_id, CAST(j AS BIGINT) AS j, CAST(round(CASE WHEN j < 16 THEN CAST(embedding[j + 1] AS DOUBLE)
+ ELSE (CAST(embedding[j + 1] AS DOUBLE) + CAST(embedding[j + 17] AS DOUBLE) + CAST(embedding[j + 33] AS DOUBLE)) / 3 END * 1000000) AS BIGINT) AS v FROM embeddings, range(32) t(j)""")
+def cls_mean_pool(spark, sf):
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.transform(F.slice("embedding", k * 16 + 1, 16), lambda e: e.cast("double")))
+    pooled = _embeddings(spark, sf).select("vec_id", F.posexplode(ft.cls_mean_pool(tokens)).alias("j", "v"))
+    return pooled.select("vec_id", F.col("j").cast("bigint").alias("j"), F.round(F.col("v") * 1000000).cast("bigint").alias("v"))
+
+
+@query("fx_slides", "SELECT slide_id, (row_number() OVER (ORDER BY filename) - 1) // 16 AS batch_no FROM fx_slides")
+def seg_batches(spark, sf):
+    return rs.batches(fixture(spark, sf, "fx_slides"), 16, "filename").select("slide_id", "batch_no")
+
+
+@query(FULL_FX, "WITH " + TISSUE_SQL + """, th AS (SELECT slide_id, w / 64.0::DOUBLE AS dx, h / 48.0::DOUBLE AS dy, patch_l0 FROM geo)
+SELECT p.slide_id, p.patch_idx, CAST(trunc(p.x / t.dx) AS BIGINT) AS x0, CAST(trunc(p.y / t.dy) AS BIGINT) AS y0, CAST(trunc(p.x / t.dx + t.patch_l0 / t.dx) AS BIGINT) AS x1,
+CAST(trunc(p.y / t.dy + t.patch_l0 / t.dy) AS BIGINT) AS y1 FROM patches p JOIN th t USING (slide_id)""")
+def grid_overlay_boxes(spark, sf):
+    p = _patches(spark, sf)
+    dx, dy = F.col("w") / F.lit(64.0), F.col("h") / F.lit(48.0)
+    box = {"x0": F.col("x") / dx, "y0": F.col("y") / dy, "x1": F.col("x") / dx + F.col("patch_l0") / dx, "y1": F.col("y") / dy + F.col("patch_l0") / dy}
+    return p.select("slide_id", "patch_idx", *[v.cast("bigint").alias(k) for k, v in box.items()])
+
+
+@query("", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {d})" for n, d in sorted(KNOWN.items())) + ") t(name, dim)")
+def encoder_catalog(spark, sf):
+    return encoders(spark)
+
+
+@query("fx_slides", "SELECT slide_id, '/out/patches/slide_stem=' || stem AS patches, '/out/patches/' || stem || '.lock' AS lock, '/out/images/' || stem AS images, '/out/visualization' AS visualization FROM fx_slides")
+def output_layout(spark, sf):
+    return fixture(spark, sf, "fx_slides").select("slide_id", *[c.alias(n) for n, c in output_paths("/out", F.col("stem")).items()])
+
+
+@query("", "WITH RECURSIVE " + MASK_SQL + """, fg AS (SELECT vec_id, i, i // 8 AS y, i % 8 AS x FROM mask WHERE m > 0.5),
+reach(vec_id, i, root) AS (SELECT vec_id, i, i FROM fg UNION SELECT b.vec_id, b.i, r.root FROM reach r JOIN fg a ON a.vec_id = r.vec_id AND a.i = r.i
+ JOIN fg b ON b.vec_id = a.vec_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1)
+SELECT vec_id, count(DISTINCT root) AS components, max(pixels) AS largest FROM (SELECT vec_id, root, count(*) AS pixels FROM (SELECT vec_id, i, min(root) AS root FROM reach GROUP BY ALL) GROUP BY ALL) GROUP BY vec_id""")
+def mask_components(spark, sf):
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for vec, e in zip(batch["vec_id"], batch["embedding"]):
+                labels = ct._label(np.asarray(e, np.float64).reshape(8, 8) + 0.5 > 0.5, True)
+                if labels.max():
+                    rows.append((vec, int(labels.max()), int(np.bincount(labels.ravel())[1:].max())))
+            yield pd.DataFrame(rows, columns=["vec_id", "components", "largest"])
+
+    return _embeddings(spark, sf).select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, components bigint, largest bigint")
+
+
+@query()
+def mask_contours(spark, sf):
+    masks = _embeddings(spark, sf).select(F.col("vec_id").alias("slide_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.transform("embedding", lambda e: (e + F.lit(0.5)).cast("float")).alias("data"))
+    return ct.contours_of_masks(masks)
+
+
+@query()
+def embed_patches(spark, sf):
+    import numpy as np
+    import pandas as pd
+
+    encoder = Encoder("rgb_stats", 6, rgb_stats)
+
+    def run(batches):
+        for batch in batches:
+            pixels = np.stack([np.frombuffer(b, np.uint8).reshape(8, 8, 3) for b in batch["data"]]) if len(batch) else np.zeros((0, 8, 8, 3), np.uint8)
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "embedding": list(encoder.extract_batch(pixels, 32))})
+
+    listed = _pixels(spark, sf).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", "r", "g", "b"))).alias("p"))
+    flat = F.flatten(F.transform("p", lambda q: F.array(q["r"], q["g"], q["b"])))
+    hexed = F.array_join(F.transform(flat, lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    return listed.select("vec_id", F.unhex(hexed).alias("data")).mapInPandas(run, "vec_id bigint, embedding array<float>")
