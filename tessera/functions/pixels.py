@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +48,24 @@ def is_white(pixels: np.ndarray, limit: int = 5, share: float = MIN_SHARE, brigh
     return bool(((sat < limit) & (top >= bright)).mean() >= share) if top.size else False
 
 
+def _share_udf(test, limit: int) -> Callable[[Column], Column]:
+    @F.pandas_udf("boolean")
+    def run(data: pd.Series) -> pd.Series:
+        return pd.Series([test(np.frombuffer(d, np.uint8).reshape(1, -1, 3), limit) for d in data], dtype=bool)
+
+    return run
+
+
+def dark_mask(data: Column, limit: int) -> Column:
+    """Whether a patch (binary, RGB) is dark, in Arrow batches."""
+    return _share_udf(is_black, limit)(data)
+
+
+def blank_mask(data: Column, limit: int) -> Column:
+    """Whether a patch (binary, RGB) is blank, in Arrow batches."""
+    return _share_udf(is_white, limit)(data)
+
+
 def nearest_index(i: Column, source: Column, target: Column) -> Column:
     """Source index of target index i in nearest-neighbour resampling."""
     return F.least(F.floor((i + F.lit(0.5)) * source / target), source - 1).cast("bigint")

@@ -163,10 +163,10 @@ def mpp_extract(spark, sf):
     return _meta(spark, sf).select("slide_id", md.extract_mpp(F.col("meta")).alias("mpp"))
 
 
-@query("fx_props", "WITH " + MPP_SQL + """ SELECT slide_id, coalesce(CAST(trunc(TRY_CAST(pow AS DOUBLE)) AS INTEGER),
-  CASE WHEN mpp < 0.16 THEN 80 WHEN mpp < 0.2 THEN 60 WHEN mpp < 0.3 THEN 40 WHEN mpp < 0.6 THEN 20 WHEN mpp < 1.2 THEN 10 WHEN mpp < 2.4 THEN 5 END) AS mag FROM e""")
+@query("fx_props", "WITH " + MPP_SQL + """ SELECT slide_id, CAST(coalesce(CAST(trunc(TRY_CAST(pow AS DOUBLE)) AS INTEGER),
+  CASE WHEN mpp < 0.16 THEN 80 WHEN mpp < 0.2 THEN 60 WHEN mpp < 0.3 THEN 40 WHEN mpp < 0.6 THEN 20 WHEN mpp < 1.2 THEN 10 WHEN mpp < 2.4 THEN 5 END) AS DOUBLE) AS mag FROM e""")
 def mag_infer(spark, sf):
-    return _meta(spark, sf).select("slide_id", md.extract_mag(F.col("meta"), md.extract_mpp(F.col("meta"))).alias("mag"))
+    return _meta(spark, sf).select("slide_id", md.extract_mag(F.col("meta"), md.extract_mpp(F.col("meta"))).cast("double").alias("mag"))
 
 
 @query("fx_props", """WITH p AS (SELECT slide_id, lower(k) AS k, trim(v) AS v FROM fx_props WHERE v IS NOT NULL AND trim(v) <> '')
@@ -334,7 +334,7 @@ def feature_list_parse(spark, sf):
     return rows.select("raw", F.array_join("n", "|").alias("names"), feature_list_error(F.col("n"), sorted(KNOWN)).alias("error"))
 
 
-@query("fx_outputs", "SELECT slide_id, expected_total AS num_patches FROM fx_outputs GROUP BY ALL HAVING expected_total > 0")
+@query("fx_outputs", "SELECT slide_id, CAST(expected_total AS BIGINT) AS num_patches FROM fx_outputs GROUP BY ALL HAVING expected_total > 0")
 def existing_outputs(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("slide_stem"))
     attrs = rows.select("slide_stem", F.lit(None).cast("bigint").alias("num_patches")).limit(0)
