@@ -51,14 +51,15 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
+        prints = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["id", "print", "fp"])
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed 64-bit number."""
+    """(id, print, fp) of every row; print is a hash of the text, fp the fingerprint as a signed 64-bit number."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprints, f"id {kind}, print bigint, fp bigint")
 
 
 def schemes(distinct: int) -> tuple[int, int]:
@@ -217,6 +218,19 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, scheme: tuple[int, i
     return sorted_keys.mapInArrow(_bucket_links(max_bits), "a bigint, b bigint").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int = MAX_BITS, scheme: tuple[int, int] | None = None, block: int = BLOCK) -> DataFrame:
+    """(id, print, fp, component_id) of every row."""
+    work = Workspace(docs.sparkSession, "simhash")
+    rows = work.stage(with_fingerprints(docs, id_col, text_col), "rows")
+    classes = work.stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    groups = components(near_links(classes.select("fp"), max_bits, scheme, block), "simhash_components")
+    groups = groups.select(F.col("node").alias("fp"), "component")
+    labelled = classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_print = labelled.select("fp", "component").join(least, "component").select("fp", "component_id")
+    return rows.join(by_print, "fp").select("id", "print", "fp", "component_id")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, scheme: tuple[int, int] | None = None, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: id, fingerprint (16 hex digits), component_id.
 
@@ -226,15 +240,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are linked like any other; repeated rows each get a row. Other columns are
     ignored; an empty table gives no rows.
     """
-    work = Workspace(docs.sparkSession, "simhash")
-    rows = work.stage(with_fingerprints(docs, id_col, text_col), "rows")
-    classes = work.stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    groups = components(near_links(classes.select("fp"), max_bits, scheme, block), "simhash_components")
-    groups = groups.select(F.col("node").alias("fp"), "component")
-    labelled = classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = labelled.select("fp", "component").join(least, "component").select("fp", "component_id")
-    out = rows.join(by_print, "fp")
+    out = _grouped(docs, id_col, text_col, max_bits, scheme, block)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -242,12 +248,13 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` without the rows whose group has a smaller id: one document of each group stays.
 
     Rows that share the id that stays are one document and all stay; rows
-    without an id stay where their group has none at all.
+    without an id stay where their group has none at all. Rows are told apart
+    by id and text, so a repeated id with another text has a group of its own.
     """
     work = Workspace(docs.sparkSession, "simhash_dedup")
-    groups = simhash_groups(docs, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = work.stage(groups.select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    rows = _grouped(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component_id")))
+    gone = work.stage(rows.select(F.col("id").alias("_gone"), F.col("print").alias("_print")).distinct(), "gone")
+    return docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col(text_col)) == F.col("_print")), "left_anti")
 
 
 def op8_simhash(spark, sf_dir):
