@@ -83,6 +83,8 @@ def image_slides(spark: SparkSession, path: str, recursive: bool = False) -> Dat
     pruned wherever only metadata is used.
     """
     images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", str(recursive).lower()).load(path).select("image.*")
+    # The image reader writes local paths with an empty host, the file listing without one.
+    images = images.withColumn("origin", F.regexp_replace("origin", "^file:///", "file:/"))
     rows = images.select(F.xxhash64("origin").alias("slide_id"), F.col("origin").alias("path"), stem_of(F.col("origin")).alias("stem"), F.col("width").cast("long").alias("w"), F.col("height").cast("long").alias("h"), "nChannels", "data")
     good = F.col("w") > 0
     return rows.select(
