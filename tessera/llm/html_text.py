@@ -156,17 +156,19 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
 def main_lines(lines: list[tuple[str, int, int, bool]], window: int = WINDOW, surge: float = SURGE) -> list[str]:
     """Texts of the lines between surge and dive points, in page order.
 
-    A line weighs the characters that are not in links; where the page marks
-    its article, lines outside weigh nothing and lines inside weigh all they
-    have. The sum over each window of lines is the distribution: text surges at
+    A line weighs its characters unless half of them are in links. Where the
+    lines that the page marks as its article hold half of that
+    weight or more, lines outside weigh nothing and lines inside weigh all they have,
+    so that the marks decide; fewer marks, as of a teaser card beside a body
+    without any, change nothing. The sum over each window of lines is the distribution: text surges at
     a window whose sum reaches ``surge`` times the highest, begins where the
     sums left zero before it, and dives where they are zero again.
     """
-    marked = any(inside and n for _, n, _, inside in lines)
+    weight = np.array([n if 2 * link < n else 0 for _, n, link, _ in lines], np.int64)
+    inside = np.array([x[3] for x in lines], bool)
+    marked = inside.any() and 2 * weight[inside].sum() >= weight.sum()
     if marked:
-        weight = np.array([n if inside else 0 for _, n, _, inside in lines], np.int64)
-    else:
-        weight = np.array([n if 2 * link < n else 0 for _, n, link, _ in lines], np.int64)
+        weight = np.array([n if within else 0 for _, n, _, within in lines], np.int64)
     if not weight.any():
         return []
     padded = np.concatenate([weight, np.zeros(window - 1, np.int64)])

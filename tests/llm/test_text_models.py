@@ -151,6 +151,16 @@ def test_page_without_marks():
     assert len(got) == 8 and got[0].startswith("Paragraph 0")
 
 
+def test_body_in_plain_blocks_beside_a_teaser_card():
+    body = "".join(f"<div>Paragraph {i} of a long text that goes on for a good while without any markup.</div>" for i in range(8))
+    card = "<article><h3>Teaser</h3><p>Three words more.</p></article>"
+    menu = "".join(f"<div><a href='/{i}'>Entry {i}</a></div>" for i in range(9))
+    for page in (menu + body + card, card + menu + body):
+        got = extract(f"<html><body>{page}</body></html>").split("\n\n")
+        assert [x for x in got if x.startswith("Paragraph")] == [f"Paragraph {i} of a long text that goes on for a good while without any markup." for i in range(8)]
+        assert not any(x.startswith("Entry") for x in got)
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "<!--", "<script>", "</p></p>", "<a b='", "&#x110000; &#0; &bad", "<p>" * 3000])
 def test_broken_pages(html):
     assert isinstance(extract(html), str)
