@@ -1,4 +1,4 @@
-"""Exact deduplication through an extendible-hash index on shared files."""
+"""Exact deduplication by a hash aggregate over an index on shared files."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ def build_directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS, key_bits: int = 64, digest_chars: int = 64) -> DataFrame:
-    """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256, bucket.
+    """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they agree byte for byte once white space is deleted;
     null counts as empty. The row with most code points in the original text
@@ -52,11 +52,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``docs`` are ignored, whatever their names; an empty table gives no rows.
 
     Method: the index file holds (id, code points, 64-bit key, SHA-256) of every
-    row. Keys are spread over the buckets of an extendible-hash directory, and
-    the owner of a bucket chains the rows of keys seen more than once and
+    row. A hash aggregate chains the rows of keys seen more than once and
     compares their normalised bytes (the grouping key of the aggregate is the
     text itself, combined on the map side, so a group with a third of all rows
-    sends one text for each task). Texts of keys seen once are never moved.
+    sends one text for each task). Texts of keys seen once are never moved. An
+    extendible-hash directory of the keys is staged, but routes no row.
     ``key_bits`` and ``digest_chars`` weaken the hashes so that tests can force
     collisions.
     """
