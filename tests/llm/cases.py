@@ -75,7 +75,7 @@ def similar_lines(lines, least: float = 0.8) -> list[tuple[str, str]]:
     return out
 
 
-def line_drops(docs, min_chars: int = 8):
+def line_drops(docs, min_chars: int = 1):
     """For rows (id, text): the set of (id, text, line number) that go, and the component of every line."""
     at = []
     for k, (i, text) in enumerate(docs):

@@ -133,17 +133,16 @@ def test_line_dedup_of_a_few_texts(spark):
     out = dedup_lines(documents(spark, rows, clashes=False))
     got = removed(out)
     assert got[1] == rows[0][1]
-    assert got[2] == "short\nAnother line that is nowhere else to be seen."
+    assert got[2] == "Another line that is nowhere else to be seen."
     assert got[3] == ""
     assert (got[4], got[5]) == (None, "")
     assert got[6] == rows[5][1] and got[7] == ""
     counts = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in out.collect()}
-    assert counts == {1: (3, 0), 2: (3, 1), 3: (3, 2), 4: (0, 0), 5: (1, 0), 6: (2, 0), 7: (1, 1)}
+    assert counts == {1: (3, 0), 2: (3, 2), 3: (3, 2), 4: (0, 0), 5: (1, 0), 6: (2, 0), 7: (1, 1)}
 
 
 def test_line_dedup_against_all_pairs(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    rows = [(i, t if t is None or len(t) < 20_000 else t[:20_000]) for i, t in rows]
     gone, _ = line_drops(rows)
     want = {}
     for k, (i, text) in enumerate(rows):
@@ -164,13 +163,11 @@ def test_line_dedup_of_odd_rows(spark):
     for i, text in ((6, ODD[5][1]), (9, LONG)):
         n = want.pop((i, text))
         want[(i, "")] = n
-    # Row 7 is near row 5; whether the sketches find it is the next test's matter.
-    got.pop((7, ""), None), got.pop((7, ODD[7][1]), None), want.pop((7, ODD[7][1]))
+    want[(7, "")] = want.pop((7, ODD[7][1]))  # near row 5
     assert got == want
     assert dedup_lines(documents(spark, [])).count() == 0
 
 
-@pytest.mark.xfail(reason="known miss: Jaccard 0.85, but 5 of 16 sketch hashes agree where 7 are asked for", strict=True)
 def test_line_dedup_of_a_short_near_line(spark):
     got = removed(dedup_lines(documents(spark, [ODD[4], ODD[7]], clashes=False)))
     assert got == {5: ODD[4][1], 7: ""}
