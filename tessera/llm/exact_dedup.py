@@ -1,18 +1,16 @@
-"""Exact deduplication by a hash aggregate over an index on shared files."""
+"""Exact deduplication through an extendible-hash index on shared files."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Workspace, table, text_or_empty
+from .common import SPACES, Workspace, small, table, text_or_empty
 
 #: Keys that a bucket of the directory may hold before it is split.
-BUCKET_KEYS = 200_000
-#: Keys that may be broadcast (about 40 bytes each); more are joined by a shuffle.
-BROADCAST_KEYS = 500_000
+BUCKET_KEYS = 8192
 
 
 def normalised(text: str) -> Column:
@@ -42,7 +40,7 @@ def build_directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> DataFrame:
     return leaf.select("slot", bucket.alias("bucket"), F.col("leaf.d").alias("local_depth"), F.col("leaf.keys").alias("keys"), F.lit(depth).alias("depth"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS, key_bits: int = 64, digest_chars: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_KEYS, key_bits: int = 64, digest_chars: int = 64, directory: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they agree byte for byte once white space is deleted;
@@ -52,16 +50,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``docs`` are ignored, whatever their names; an empty table gives no rows.
 
     Method: the index file holds (id, code points, 64-bit key, SHA-256) of every
-    row. A hash aggregate chains the rows of keys seen more than once and
-    compares their normalised bytes (the grouping key of the aggregate is the
-    text itself, combined on the map side, so a group with a third of all rows
-    sends one text for each task). Texts of keys seen once are never moved. An
-    extendible-hash directory of the keys is staged, but routes no row.
-    ``key_bits`` and ``digest_chars`` weaken the hashes so that tests can force
-    collisions.
+    row. Its directory gives each key that occurs more than once a bucket,
+    which is a range of keys, and the rows of a bucket go to the one task that owns it.
+    The owner chains the texts of a key and tells them apart by their bytes.
+    Before rows are dealt, copies of a text in one input task become one row, so a group
+    with a third of all rows sends one text for each task. Texts of keys seen once
+    are chains of one and never move. ``key_bits`` and ``digest_chars`` weaken the hashes so
+    that tests can force collisions; ``directory`` stands in for build_directory's.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "exact_dedup")
+    work = Workspace(docs.sparkSession, "exact_dedup")
     norm = normalised("text")
     key = F.xxhash64("norm")
     if key_bits < 64:
@@ -70,25 +67,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = base.withColumn("sha", F.sha2("norm", 256)).withColumn("key", key).withColumn("digest", F.unhex(F.substring("sha", 1, digest_chars)))
     entries = work.stage(keyed.select("id", "n_chars", "key", "digest", F.unhex("sha").alias("sha")), "entries")
     counts = work.stage(entries.groupBy("key").agg(F.count("*").alias("n")), "keys")
-    directory = work.stage(build_directory(counts, capacity), "directory")
+    directory = work.stage(build_directory(counts, capacity) if directory is None else directory, "directory")
     depth = (directory.agg(F.max("depth")).first()[0]) or 0
     slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+    routed = counts.where("n > 1").select("key", slot.alias("slot")).join(small(directory.select("slot", "bucket")), "slot").select("key", "bucket")
+    routed = work.stage(routed, "routed")
 
-    repeated = counts.where("n > 1").select("key")
-    if repeated.count() <= BROADCAST_KEYS:
-        repeated = F.broadcast(repeated)
-    chains = keyed.join(repeated, "key", "left_semi").groupBy("key", "digest", "norm").agg(F.count("*").alias("n"))
-    clashes = work.stage(chains.groupBy("key", "digest").agg(F.count("*").alias("chains")).where("chains > 1"), "clashes")
+    best = F.max(F.struct("n_chars", F.bitwise_not("id").alias("other"))).alias("best")
+    rows = keyed.select("id", "n_chars", "key", "digest", "norm", F.spark_partition_id().alias("task")).join(small(routed), "key")
+    sent = rows.groupBy("task", "bucket", "key", "digest", "norm").agg(F.count("*").alias("n"), best)
+    owned = sent.repartition("bucket").groupBy("bucket", "key", "digest", "norm").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+    # Different texts under one key and digest: their rows carry the text itself.
+    several = F.count("*").over(Window.partitionBy("bucket", "key", "digest")) > 1
+    chains = work.stage(owned.select("bucket", "key", "digest", "n", "best", F.when(several, F.col("norm")).otherwise(F.lit("")).alias("chain")), "chains")
+    clashes = work.stage(chains.where("chain != ''").select("key", "digest").distinct(), "clashes")
     if clashes.isEmpty():
         entries = entries.withColumn("chain", F.lit(""))
     else:
-        texts = keyed.join(clashes, ["key", "digest"], "left").withColumn("chain", F.when(F.col("chains").isNotNull(), F.col("norm")).otherwise(F.lit("")))
+        texts = keyed.join(clashes.withColumn("clash", F.lit(True)), ["key", "digest"], "left").withColumn("chain", F.when(F.col("clash"), F.col("norm")).otherwise(F.lit("")))
         entries = work.stage(texts.select("id", "n_chars", "key", "digest", F.unhex("sha").alias("sha"), "chain"), "chained")
 
-    group = ["key", "digest", "chain"]
-    best = F.max(F.struct("n_chars", F.bitwise_not("id").alias("other"))).alias("best")
-    groups = entries.groupBy(*group).agg(F.count("*").alias("n"), best).where("n > 1")
-    out = entries.withColumn("slot", slot).join(groups, group, "left")
+    groups = chains.where("n > 1").select("key", "digest", "chain", "n", "best")
+    out = entries.join(small(groups), ["key", "digest", "chain"], "left")
     alone = F.col("n").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.bitwise_not("best.other"))
     kept = alone | (F.col("id").eqNullSafe(F.bitwise_not("best.other")) & (F.col("n_chars") == F.col("best.n_chars")))

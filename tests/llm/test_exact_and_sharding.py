@@ -43,6 +43,18 @@ def test_directory_doubles_until_buckets_fit(spark):
     assert min(r["local_depth"] for r in slots) < slots[0]["depth"]
 
 
+def test_the_directory_decides_which_texts_meet(spark):
+    """A directory that sends a key to two owners splits its group; copies of the rows of one owner alone are not enough."""
+    rows = [(i, f"text {i % 50}", None, None) for i in range(200)]
+    docs = documents(spark, rows, clashes=False)
+    right = {r["doc_id"]: r["group_size"] for r in exact_dedup(docs, capacity=4).collect()}
+    assert set(right.values()) == {4}
+    slots = [(0, 0, 3), (1, 1, 3), (2, 2, 3), (2, 99, 3), (3, 3, 3), (4, 4, 3), (5, 5, 3), (6, 6, 3)]  # slot 2 twice, slot 7 in no bucket
+    wrong = spark.createDataFrame([(s, b, 3, 0, d) for s, b, d in slots], "slot long, bucket long, local_depth int, keys long, depth int")
+    got = [(r["doc_id"], r["group_size"]) for r in exact_dedup(docs, directory=wrong).collect()]
+    assert len(got) > len(rows) and 1 in {n for _, n in got}
+
+
 def test_empty_table(spark):
     none = documents(spark, [])
     assert exact_dedup(none).count() == 0
