@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Codec, decode_tokens, encode_documents, parse_ranks, public_pattern, round_trip
-from tessera.llm.html_text import extract, extract_pages
+from tessera.llm.html_text import extract, extract_pages, op1_html_text
 from tessera.llm.language_id import classify, held_out, identify, op9_language_id, train_model
 from tessera.llm.toxicity import BUCKETS, OrdinalModel, features_of, fit_ordinal, op10_toxicity, severity
 
@@ -144,6 +146,77 @@ def test_article_text():
     ]
 
 
+TWO = "<p>The first paragraph of this page is long enough to be told from everything around it.</p><p>The second one follows it and is about as long as the first one was, or nearly.</p>"
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="has-sidebar layout">{}</div>', '<div id="page" class="no-sidebar">{}</div>', '<article class="post comments-open">{}</article>', '<article class="post related-content">{}</article>',
+    '<article><p class="follow-up">{}</p></article>', '<article><section class="legal-background">{}</section></article>', '<div class="sidebar">{}</div>', '<div class="widget"><div class="header">{}</div></div>', "<div>{}</div>",
+])
+def test_wrappers_named_like_boilerplate_keep_the_text(wrapper):
+    menu = "".join(f"<li><a href='/{i}'>Entry {i}</a></li>" for i in range(9))
+    got = extract(f"<html><body><ul>{menu}</ul>{wrapper.format(TWO)}<div class='ad'>Buy now.</div></body></html>").split("\n\n")
+    assert [x[:10] for x in got] == ["The first ", "The second"]
+
+
+def test_the_windows_decide_beside_an_article():
+    far = "<div></div>" * 4
+    page = f"<body><p>Log in to read more.</p>{far}<article>{TWO * 3}<div>Tags</div></article>{far}<div>Seen 12 times.</div></body>"
+    assert [x[:4] for x in extract(page).split("\n\n")] == ["The "] * 6 + ["Tags"]
+    # The same without marks: one window is too low to be a surge, and the line beside the text is not told from it.
+    assert [x[:4] for x in extract(page.replace("article", "div")).split("\n\n")] == ["The "] * 6 + ["Tags"]
+    lone = page.replace("<div>Tags</div>", f"{far}<div>Tag</div>")
+    assert [x[:4] for x in extract(lone.replace("article", "div")).split("\n\n")] == ["The "] * 6
+
+
+def test_deep_nesting_takes_linear_time():
+    def took(n):
+        began = time.perf_counter()
+        extract("<div><b>" * n + "</i></section>" * n + "<p>text</p>" * n)
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 24 * max(took(2_000), 0.01)
+
+
+class _ArticleBlocks(HTMLParser):
+    """Brute force for pages whose article is an element: its blocks, by the standard library's parser."""
+
+    BLOCKS = {"p", "h1", "h2", "h3", "ul", "li", "div", "section", "blockquote", "article"}
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.parts, self.blocks = 0, [], []
+
+    def cut(self):
+        self.blocks.append(" ".join("".join(self.parts).split()))
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.cut() if tag in self.BLOCKS else self.parts.append(" ") if tag == "br" else None
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.cut()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+def test_whole_table_against_brute_force(spark):
+    rows = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    for r in op1_html_text(spark, "/root/testdata/sf0.01").collect():
+        parser = _ArticleBlocks()
+        parser.feed(rows[r["page_id"]] or "")
+        parser.close()
+        parser.cut()
+        assert r["text"] == "\n\n".join(x for x in parser.blocks if x), r["page_id"]
+        assert r["n_chars"] == len(r["text"])
+
+
 def test_page_without_marks():
     body = "".join(f"<p>Paragraph {i} of a long text that goes on for a good while without any markup.</p>" for i in range(8))
     menu = "".join(f"<div><a href='/{i}'>Entry {i}</a></div>" for i in range(9))
