@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, table, text_or_empty, word_count
+from .common import Workspace, small, table, text_or_empty, word_count
 
 #: Bits of the hash that one histogram resolves.
 STEP_BITS = 12
@@ -133,12 +133,22 @@ def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, source, size, h) of every row, and the columns ``keep`` as a struct ``row``."""
+    """(id, source, size) of every row, and the columns ``keep`` as a struct ``row``."""
     size = word_count(text_or_empty("text"))
     extra = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *extra)
-    rows = base.select("id", "source", size.alias("size"), *(["row"] if keep else []))
-    return rows.withColumn("h", F.xxhash64("id", "size", "source"))
+    return base.select("id", "source", size.alias("size"), *(["row"] if keep else []))
+
+
+def _hashed(rows: DataFrame, copy: Column) -> DataFrame:
+    return rows.withColumn("h", F.xxhash64("id", "size", "source", copy.cast("long")))
+
+
+def numbered_rows(docs: DataFrame, **cols: str) -> DataFrame:
+    """(id, source, size, n, h): rows that agree in the first three are counted, and each copy has a hash of its own."""
+    tied = keyed_rows(docs, **cols).groupBy("id", "source", "size").agg(F.count("*").alias("n"))
+    each = tied.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    return _hashed(each, F.col("copy")).drop("copy")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5, cap: int = 2, **cols: str) -> DataFrame:
@@ -147,20 +157,36 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5
     size counts words (null text: 0); null is a source like any other and comes
     last. A record is taken as often as whole copies of its source fit the
     target, once more if its hash lies below the cut. Rows that agree in id,
-    size and source share their hash and are taken alike. Sources without words
+    size and source are told apart by a number, so that a part of them can be
+    taken; which of them makes no difference. Sources without words
     have target 0. Other columns are ignored; an empty table gives no rows.
     """
-    rows = Workspace(docs.sparkSession, "mix").stage(keyed_rows(docs, **cols), "rows")
+    rows = Workspace(docs.sparkSession, "mix").stage(numbered_rows(docs, **cols), "rows")
     out = apply_mix(rows, plan_mix(rows, weights, budget, cap))
     return out.select(F.col("id").alias("doc_id"), "size", F.col("total").alias("source_size"), "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5, cap: int = 2) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    rows = Workspace(docs.sparkSession, "mix").stage(keyed_rows(docs), "rows")
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it.
+
+    Of rows that agree in id, size and source, as many are taken as ``mix``
+    says, those first whose columns have the lowest hash; rows that agree in all columns are one row several times.
+    """
+    work = Workspace(docs.sparkSession, "mix")
+    rows = work.stage(numbered_rows(docs), "rows")
     plan = plan_mix(rows, weights, budget, cap)
-    times = apply_mix(keyed_rows(docs, keep=docs.columns), plan)
-    return times.where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select("row.*")
+    tied = apply_mix(rows.where("n > 1"), plan).groupBy("id", "source", "size").agg(F.sum(F.col("times") - F.col("copies")).alias("more"))
+    tied = work.stage(_hashed(tied, F.lit(0)).select(F.col("h").alias("tied"), "more"), "tied")
+    every = _hashed(keyed_rows(docs, keep=docs.columns), F.lit(0))
+    alone = apply_mix(every.join(small(tied.drop("more")), F.col("h") == F.col("tied"), "left_anti"), plan).select("row", "times")
+    if not tied.isEmpty():
+        # Equal rows are combined before they meet, so a row that is there a million times is one row from each task.
+        equal = every.join(small(tied), F.col("h") == F.col("tied")).groupBy("source", "h", "more", F.xxhash64("row").alias("mark")).agg(F.count("*").alias("n"), F.first("row").alias("row"))
+        before = F.sum("n").over(Window.partitionBy("h").orderBy("mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+        equal = _join(equal.withColumn("before", before), plan.select("source", "copies"), "inner")
+        some = F.greatest(F.lit(0), F.least(F.col("n"), F.col("more") - F.col("before")))
+        alone = alone.unionByName(equal.select("row", (F.col("n") * F.col("copies") + some).alias("times")))
+    return alone.where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select("row.*")
 
 
 def op2_mixing(spark, sf_dir):

@@ -73,5 +73,24 @@ def test_the_mix_itself_repeats_rows(spark):
     assert counts == {i: n for i, n in taken.items() if n}
 
 
+def test_ties_are_taken_in_part(spark):
+    """3,000 equal rows, and rows without an id: a part of a tie is taken, so that targets are met."""
+    rows = [(7, "five words are in here", None, "a")] * 3000 + [(None, "w " * (1 + i % 3), None, "b") for i in range(3000)] + [(i, "x y z", None, "c") for i in range(10_000, 14_000)]
+    docs = documents(spark, rows, clashes=False)
+    got = mix(docs).collect()
+    taken, total = defaultdict(int), defaultdict(int)
+    source = lambda r: "a" if r["doc_id"] == 7 else "b" if r["doc_id"] is None else "c"
+    for r in got:
+        assert r["taken"] <= 2 * r["size"]
+        taken[source(r)] += r["taken"]
+        total[source(r)] += r["size"]
+    for name, target in loop_targets(total).items():
+        assert abs(taken[name] - target) <= 0.01 * target
+    out = defaultdict(int)
+    for r in mixed_documents(docs).collect():
+        out[source(r)] += len(WORD.findall(r["text"]))
+    assert out == taken
+
+
 def test_empty_table(spark):
     assert mix(documents(spark, [])).count() == 0
