@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from tempfile import gettempdir
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,30 +19,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own in a single JVM, where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/checkpoints").rstrip("/")
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or f"file://{gettempdir()}/checkpoints").rstrip("/")
+
+
+#: Drops the shuffle files of a query at its end; what it wrote is read back from the shared folder.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Workspace:
     """Written intermediate tables of one operator run in the shared folder.
 
     A staged table cuts lineage: a lost executor costs a reread of replicated
-    files and never a recomputation of the whole chain.
+    files and never a recomputation of the whole chain. Its files go when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         app = spark.sparkContext.applicationId
         self.root = f"{shared_dir(spark)}/tessera/{app}/{name}-{uuid.uuid4().hex[:12]}"
+        path = self._path("")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def stage(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", compression).parquet(path)
+        path, before = f"{self.root}/{name}", self.spark.conf.get(_DROP_SHUFFLES, "false")
+        self.spark.conf.set(_DROP_SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").option("compression", compression).parquet(path)
+        finally:
+            self.spark.conf.set(_DROP_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self._path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
