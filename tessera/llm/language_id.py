@@ -11,13 +11,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Workspace, small, table
 
-#: Bounds of the training sample: rows and bytes of text for each language.
+#: Bounds of the training sample: documents, and bytes of a dictionary, for each language.
 SAMPLE_ROWS = 400
 DICT_BYTES = 48 << 10
-#: Characters that a sampled row gives to a dictionary at most; the rows classified are never cut.
-SAMPLE_CHARS = 4096
 #: A long text is compressed in parts of so many bytes, all of them, so that the dictionary stays in reach.
 PART_BYTES = 2048
 #: Short matches matter more than long ones here, so the search is set by hand.
@@ -37,36 +35,41 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def sample(docs: DataFrame, label: str, allowed: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``rows`` rows for each label, by a hash of the id: (label, text).
+    """Texts of at most ``rows`` ids for each label, by a hash of the id: (label, text).
 
-    A first pass over labels and ids alone sets, for each label, the share of
-    the hash range that holds somewhat more than ``rows`` rows; only rows in
-    that share are ranked, so a label with most of the table is never gathered.
+    Only labels and ids are ranked. A first pass sets, for each label, the share of
+    the hash range that holds somewhat more than ``rows`` ids, and only ids in
+    that share meet in a label's task, so a label with most of the table is never gathered.
+    Texts are joined to the ids chosen; of rows that share an id and a label the least text counts.
     """
-    base = docs.where(allowed & F.col(label).isNotNull() & F.col(id_col).isNotNull())
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("sample")), 11).cast("double") / F.lit(float(1 << 53))
-    counts = base.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * rows + 50) / F.col("n"))
-    limits = counts.select("label", share.alias("share"))
-    drawn = base.select(F.col(label).alias("label"), F.col(text_col).alias("text"), draw.alias("draw"), F.col(id_col).alias("id")).join(limits, "label").where("draw < share")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id", F.xxhash64("text")))
-    return drawn.where(F.col("text").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= rows).select("label", "text", "rank")
+    known = docs.where(allowed & F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    known = known.select(F.col(label).alias("label"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11).cast("double") / F.lit(float(1 << 53))
+    limits = known.groupBy("label").agg(F.least(F.lit(1.0), F.lit(2.0 * rows + 50) / F.approx_count_distinct("id")).alias("share"))
+    drawn = known.select("label", "id", draw.alias("draw")).join(F.broadcast(limits), "label").where("draw < share").select("label", "id", "draw").distinct()
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id"))
+    chosen = drawn.withColumn("rank", rank).where(F.col("rank") <= rows).select("label", "id")
+    return known.join(small(Workspace(docs.sparkSession, "language_sample").stage(chosen, "chosen")), ["label", "id"]).groupBy("label", "id").agg(F.min("text").alias("text")).select("label", "text")
 
 
 def learn(docs: DataFrame, label: str = "lang", allowed: Column | None = None, rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
-    """Raw-content dictionary of each language, from sampled texts, up to ``dict_bytes``.
+    """Raw-content dictionary of each language, from the lines of sampled texts, up to ``dict_bytes``.
 
-    Texts are normalised, and each line counts once. Every language gets as
+    Lines of whole texts enter in the order of their hash, each once and normalised, until the dictionary is full, so
+    that a long text has no more say than its lines. Every language gets as
     many bytes as the one with the least text allows, but no fewer than 4 KB
     where it has them, since a longer dictionary compresses better in any
-    language. Sampled rows carry SAMPLE_CHARS to the driver, so ``rows`` times
-    that for each language bounds what is collected.
+    language. The driver gets the lines that reach ``dict_bytes`` for each language and no more.
     """
-    found = sample(docs, label, F.lit(True) if allowed is None else allowed, rows, id_col, text_col)
+    texts = sample(docs, label, F.lit(True) if allowed is None else allowed, rows, id_col, text_col)
+    each = texts.select("label", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{M}]+", " "))).where("line != ''").distinct()
+    upto = Window.partitionBy("label").orderBy(F.xxhash64("line"), "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("before", F.sum(F.octet_length("line") + 1).over(upto) - F.octet_length("line")).where(F.col("before") <= dict_bytes)
     lines: dict[str, dict[str, None]] = {}
-    for r in found.orderBy("label", "rank").select("label", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
-        lines.setdefault(r["label"], {}).update((x, None) for x in map(normalise, r["text"].split("\n")) if x)
-    joined = {lang: " ".join(found).encode("utf-8") for lang, found in lines.items() if found}
+    for r in each.orderBy("label", "before").select("label", F.expr(f"substring(line, 1, {dict_bytes})").alias("line")).collect():
+        if line := normalise(r["line"]):
+            lines.setdefault(r["label"], {})[line] = None
+    joined = {lang: " ".join(found).encode("utf-8") for lang, found in lines.items()}
     if not joined:
         return {}
     room = min(dict_bytes, max(4096, min(map(len, joined.values()))))
