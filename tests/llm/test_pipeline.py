@@ -7,13 +7,14 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm.bpe import parse_ranks
 from tessera.llm.language_id import MIN_MARGIN, classify, train_model
 from tessera.llm.mixing import mix
 
-from .cases import line_drops
+from .cases import documents, line_drops
 from .test_mixing import WORD, loop_targets
 from .test_near_duplicates import expected_components
 
@@ -107,3 +108,21 @@ def test_stages_and_run(spark, folder):
     assert tokens_of(stages[4](spark, frame(mixed), folder)) == want
     assert tokens_of(corpus_pipeline.run(spark, folder)) == want
     print("rows after each stage:", len(rows), len(kept), len(lines), len(near), len(mixed), sum(want.values()))
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    """Nulls, repeats, long texts and columns named like the operators' own: what a stage returns is as it came."""
+    learnt = spark.read.parquet(f"{folder}/documents.parquet").where("lang is not null").select("doc_id", "text", "lang", "source").limit(150)
+    odd = documents(spark)
+    extra = [c for c in odd.columns if c not in learnt.columns]
+    docs = odd.unionByName(learnt.select("*", *[F.lit("clash").alias(c) for c in extra]))
+    docs = docs.withColumn("score", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("!")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        changed = {"n_chars"} if name == "line dedup" else set()
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        for r in out.collect():
+            assert r["score"] == ("none!" if r["doc_id"] is None else f"{r['doc_id']}!"), name
+            assert {r[c] for c in extra if c not in changed | {"score"}} <= {"clash"}, name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    assert corpus_pipeline.tokenise(spark, docs.limit(0), folder).count() == 0

@@ -2,19 +2,23 @@
 
 import base64
 import hashlib
+import math
 import time
+import unicodedata
+import zlib
 from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Codec, decode_tokens, encode_documents, parse_ranks, public_pattern, round_trip
 from tessera.llm.html_text import extract, extract_pages, op1_html_text
-from tessera.llm.language_id import classify, held_out, identify, op9_language_id, train_model
-from tessera.llm.toxicity import BUCKETS, OrdinalModel, features_of, fit_ordinal, op10_toxicity, severity
+from tessera.llm.language_id import PART_BYTES, SEARCH, classify, held_out, identify, op9_language_id, train_model
+from tessera.llm.toxicity import BUCKETS, OrdinalModel, features_of, fit_ordinal, op10_toxicity, severity, training_sample
 
 from .cases import ODD, documents
 
@@ -86,8 +90,6 @@ def test_language_of_odd_rows(spark, sf):
     assert classify("some words", ()) == ("und", 0.0, 0.0)
     assert train_model(documents(spark, [], clashes=False)) == {}
     marks = {r["doc_id"]: r["h"] for r in spark.range(40).select(F.col("id").alias("doc_id"), held_out("id").alias("h")).collect()}
-    import zlib
-
     assert marks == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(40)}
 
 
@@ -246,3 +248,69 @@ def test_pages_table(spark):
     assert [r["n_chars"] for r in got] == [len(r["text"]) for r in got]
     assert len(got) == 5 and sum(r["text"] == "" for r in got) == 2
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def test_language_of_the_whole_table_against_brute_force(spark, sf):
+    """Every text against every dictionary by a fresh compressor, sizes added up part by part."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = train_model(docs)
+    params = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, **SEARCH)
+    got = {r["doc_id"]: r for r in op9_language_id(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        letters = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in (text or "").lower())
+        plain = " ".join(letters.split()).encode()
+        if not plain:
+            assert got[doc_id]["lang_pred"] == "und" and got[doc_id]["score"] == 0
+            continue
+        sizes = {}
+        for lang, dictionary in model.items():
+            coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sizes[lang] = sum(len(coder.compress(plain[i : i + PART_BYTES])) for i in range(0, len(plain), PART_BYTES))
+        least = min(sizes.values())
+        assert sizes[got[doc_id]["lang_pred"]] == least
+        second = sorted(sizes.values())[1]
+        if second > least:
+            assert got[doc_id]["margin"] == pytest.approx((second - least) / second)
+
+
+def test_toxicity_of_the_whole_table_against_brute_force(spark, sf):
+    """Every text scored by plain loops over its words, with the thresholds of the fitted model."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = fit_ordinal(*training_sample(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    texts = dict(docs.collect())
+    got = op10_toxicity(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        words = set("".join(c if c.isalpha() else " " for c in (texts[r["doc_id"]] or "").lower()).split())
+        raw = [x for w in words for x in [w, *("^" + w[:n] for n in range(4, 9) if len(w) >= n)]]
+        score = sum(float(model.weights[zlib.crc32(x.encode()) % BUCKETS]) for x in raw)
+        above = [1 / (1 + math.exp(t - score)) for t in model.theta]
+        assert r["severity"] == pytest.approx(model.grades[0] + sum(p * (b - a) for p, a, b in zip(above, model.grades, model.grades[1:])), abs=1e-6)
+        assert r["p_toxic"] == pytest.approx(above[0], abs=1e-6)
+
+
+def test_ordinal_fit_is_a_minimum_of_its_loss():
+    """No small step along a weight or a threshold lowers the penalised loss, computed anew by plain loops."""
+    rng = np.random.default_rng(4)
+    rows = [(np.array([0, 1, 2]), rng.integers(1, 4, 3)) for _ in range(120)]
+    grades = np.array([int(np.clip(c[0] - c[1] + rng.integers(0, 2), 0, 2)) for _, c in rows])
+    model, l1 = fit_ordinal(rows, grades, rounds=4000, l1=1e-3), 1e-3
+    most = np.max([c for _, c in rows], axis=0)
+
+    def loss(w, theta):
+        total = 0.0
+        for (_, c), g in zip(rows, grades):
+            cdf = [0.0, *(1 / (1 + math.exp(float(c / most @ w) - t)) for t in theta), 1.0]
+            total -= math.log(cdf[g + 1] - cdf[g]) / (3 * (grades == g).sum())
+        return total + l1 * np.abs(w).sum()
+
+    w, theta = model.weights[:3].astype(float) * most, model.theta
+    best = loss(w, theta)
+    for k in range(3):
+        for step in (-0.05, 0.05):
+            assert loss(w + step * np.eye(3)[k], theta) > best - 1e-6
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            assert loss(w, theta + step * np.eye(2)[k]) > best - 1e-6
