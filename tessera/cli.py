@@ -62,8 +62,8 @@ def encoder_names(raw: str, known: list[str]) -> tuple[str, ...]:
 def main(args: list[str] | None = None) -> int:
     given = parser().parse_args(args)
     if given.command == "info":
-        for backend, suffixes in sorted(BACKENDS.items()):
-            print(f"{backend}: {' '.join('.' + s for s in suffixes.split())}")
+        for backend, suffixes in BACKENDS.items():
+            print(f"{backend}: {' '.join('.' + s for s in suffixes)}")
         print("encoders:", ", ".join(default_registry().available()))
         return 0
     from tessera.pipeline import SlideEngine

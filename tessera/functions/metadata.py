@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values, in order of trust.
 #: Plausible microns per pixel, both ends included.
 MPP_RANGE = (0.1, 10.0)
-#: Properties that hold microns per pixel, in order of trust.
-MPP_KEYS = "openslide.mpp-x openslide.mpp-y openslide.mirax.MPP aperio.MPP hamamatsu.XResolution".split()
-TEXT_KEYS = "openslide.comment tiff.ImageDescription".split()
-MAG_KEYS = "aperio.AppMag openslide.objective-power hamamatsu.SourceLens".split()
+#: Properties that hold microns per pixel, and those whose text may tell them.
+MPP_KEYS = ("openslide.mpp-x", "openslide.mpp-y", "openslide.mirax.MPP", "aperio.MPP", "hamamatsu.XResolution")
+TEXT_KEYS = ("openslide.comment", "tiff.ImageDescription")
+MAG_KEYS = ("aperio.AppMag", "openslide.objective-power", "hamamatsu.SourceLens")
 #: Upper bounds of microns per pixel for each magnification.
 MAG_STEPS = ((0.16, 80), (0.2, 60), (0.3, 40), (0.6, 20), (1.2, 10), (2.4, 5))
-#: (attribute, exact keys, substrings tried next)
+#: Exact keys of an attribute; its own name is the substring that is tried next.
 ATTRIBUTE_KEYS = {
-    "vendor": ("openslide.vendor tiff.make tiff.model hamamatsu.model leica.scanner", "vendor"),
-    "institution": ("tiff.institution tiff.institutionname aperio.institution openslide.institution dicom.institutionname", "institution"),
-    "stain": ("aperio.stain aperio.staindescription openslide.stain hamamatsu.stain philips.stain", "stain"),
+    "vendor": ("openslide.vendor", "tiff.make", "tiff.model", "hamamatsu.model", "leica.scanner"),
+    "institution": ("tiff.institution", "tiff.institutionname", "aperio.institution", "openslide.institution", "dicom.institutionname"),
+    "stain": ("aperio.stain", "aperio.staindescription", "openslide.stain", "hamamatsu.stain", "philips.stain"),
 }
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -95,8 +96,7 @@ def find_meta_value(meta: Column, keys: Sequence[str], contains: Sequence[str] =
 
 
 def attribute(meta: Column, name: str) -> Column:
-    keys, contains = ATTRIBUTE_KEYS[name]
-    return find_meta_value(meta, keys.split(), [contains])
+    return find_meta_value(meta, ATTRIBUTE_KEYS[name], [name])
 
 
 def metadata_attrs(meta: Column, mpp: Column, mag: Column) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Suffixes of each backend, lower case.
+#: Suffixes of each backend, lower case.
 BACKENDS = {
-    "image": "bmp gif jpeg jpg png webp",
-    "openslide": "bif biff dcm dicom mrxs ndpi scn svs tif tiff vms vmu",
+    "openslide": ("svs", "tif", "tiff", "ndpi", "vms", "vmu", "scn", "mrxs", "bif", "biff", "dcm", "dicom"),
+    "image": ("png", "jpg", "jpeg", "bmp", "webp", "gif"),
 }
-SUFFIXES = {suffix: backend for backend, found in BACKENDS.items() for suffix in found.split()}
+SUFFIXES = {suffix: backend for backend, found in BACKENDS.items() for suffix in found}
 
 
 def name_of(path: Column) -> Column:
@@ -29,12 +29,12 @@ def suffix_of(path: Column) -> Column:
 
 def backend_of(path: Column) -> Column:
     """The backend that reads a file, by suffix in any case, or null."""
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(SUFFIXES.items()) for x in pair])
+    lookup = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])
     return F.try_element_at(lookup, suffix_of(path))
 
 
 def is_supported(path: Column) -> Column:
-    return suffix_of(path).isin(sorted(SUFFIXES))
+    return suffix_of(path).isin(list(SUFFIXES))
 
 
 def output_paths(root: str, stem: Column) -> dict[str, Column]:

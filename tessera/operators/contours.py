@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -41,52 +40,78 @@ def attach_holes(contours: DataFrame, holes: DataFrame, slide: str = "slide_id")
     return out.withColumn("holes", F.coalesce(F.transform("found", lambda h: h["points"]), F.array().cast(f"array<{POINTS}>"))).drop("found")
 
 
-def _label(mask: np.ndarray, eight: bool) -> np.ndarray:
-    """Component numbers from 1 in raster order of their first pixel, 0 outside."""
-    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (eight or not (dy and dx))]
-    labels = np.zeros(mask.shape, np.int32)
-    found = 0
-    for y, x in zip(*np.nonzero(mask)):
-        if labels[y, x]:
-            continue
-        found += 1
-        labels[y, x] = found
-        queue = deque([(y, x)])
-        while queue:
-            cy, cx = queue.popleft()
-            for dy, dx in steps:
-                ny, nx = cy + dy, cx + dx
-                if 0 <= ny < mask.shape[0] and 0 <= nx < mask.shape[1] and mask[ny, nx] and not labels[ny, nx]:
-                    labels[ny, nx] = found
-                    queue.append((ny, nx))
-    return labels
+class Regions:
+    """Connected regions of a mask as runs of pixels: ``row``, ``start``, ``end`` (exclusive) and ``number`` of each run, in raster order.
 
+    Regions are numbered from 0 by their first pixel in raster order. ``boxes`` has (top, left, bottom, right) of each,
+    the last two exclusive, and ``first`` the run that it begins with.
+    """
 
-_AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    def __init__(self, mask: np.ndarray, eight: bool) -> None:
+        self.shape = mask.shape
+        edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        self.row, self.start = np.nonzero(edges == 1)
+        self.end = np.nonzero(edges == -1)[1]
+        root = self._roots(int(eight))
+        self.first, self.number = np.unique(root, return_inverse=True)
+        n = len(self.first)
+        self.boxes = np.zeros((n, 4), np.int64)
+        self.boxes[:, :2] = max(mask.shape, default=0)
+        for k, (ufunc, value) in enumerate(((np.minimum, self.row), (np.minimum, self.start), (np.maximum, self.row + 1), (np.maximum, self.end))):
+            ufunc.at(self.boxes[:, k], self.number, value)
+
+    def _roots(self, reach: int) -> np.ndarray:
+        """The first run of each run's region. Runs of neighbouring rows touch if they overlap, or with ``reach`` 1 at a corner."""
+        wide = self.shape[1] + 2
+        starts, ends = self.row * wide + self.start, self.row * wide + self.end
+        low = np.searchsorted(ends, starts + wide - reach, "right")
+        many = np.maximum(np.searchsorted(starts, ends + wide + reach, "left") - low, 0)
+        above = np.repeat(np.arange(len(starts)), many)
+        below = np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(above))
+        root = np.arange(len(starts))
+        while True:
+            u, v = root[above], root[below]
+            if (u == v).all():
+                return root
+            np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+            while (root[root] != root).any():
+                root = root[root]
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def labels(self) -> np.ndarray:
+        """Numbers from 1 as an image, 0 outside."""
+        out = np.zeros(self.shape, np.int32)
+        long = self.end - self.start
+        at = np.repeat(self.row * self.shape[1] + self.start - np.cumsum(long) + long, long) + np.arange(int(long.sum()))
+        out.reshape(-1)[at] = np.repeat(self.number + 1, long)
+        return out
 
 
-def _trace(inside: np.ndarray, start: tuple[int, int], first: int) -> list[tuple[int, int]]:
-    """Border pixels (x, y) of an 8-connected region, walked around from ``start`` with Moore's rule."""
+_AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
-    def is_in(y: int, x: int) -> bool:
-        return 0 <= y < inside.shape[0] and 0 <= x < inside.shape[1] and bool(inside[y, x])
 
-    points, at, back = [], start, first
-    begin = None
+def _trace(inside: np.ndarray, start: tuple[int, int], first: int, corner: tuple[int, int]) -> list[tuple[int, int]]:
+    """Border pixels (x, y) of an 8-connected region, walked around from ``start`` with Moore's rule; ``inside`` lies at ``corner`` (y, x)."""
+    wide = inside.shape[1] + 2
+    flat = np.pad(inside, 1).tobytes()
+    steps = [y * wide + x for y, x in _AROUND]
+    at, back, begin = (start[0] - corner[0] + 1) * wide + start[1] - corner[1] + 1, first, None
+    walked: list[int] = []
     while True:
         for turn in range(1, 9):
             direction = (back + turn) % 8
-            y, x = at[0] + _AROUND[direction][0], at[1] + _AROUND[direction][1]
-            if is_in(y, x):
+            if flat[at + steps[direction]]:
                 break
         else:
-            return [(at[1], at[0])]
+            return [(start[1], start[0])]
         if begin is None:
             begin = (at, direction)
         elif (at, direction) == begin:
-            return points
-        points.append((at[1], at[0]))
-        at, back = (y, x), (direction + 4) % 8
+            return [(p % wide - 1 + corner[1], p // wide - 1 + corner[0]) for p in walked]
+        walked.append(at)
+        at, back = at + steps[direction], (direction + 4) % 8
 
 
 def mask_to_contours(mask: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[tuple[int, list[tuple[int, int]]]]]:
@@ -94,30 +119,37 @@ def mask_to_contours(mask: np.ndarray) -> tuple[list[list[tuple[int, int]]], lis
 
     Foreground is 8-connected, background 4-connected. Contours go by their
     topmost, then leftmost pixel and list every border pixel; a hole's contour
-    runs through the foreground pixels around it.
+    runs through the foreground pixels around it. Regions are found in runs of pixels at once, and each
+    is traced in its own bounding box.
     """
     mask = np.asarray(mask, bool)
-    regions = _label(mask, True)
+    found = Regions(mask, True)
+    regions = found.labels()
     outer = []
-    for number in range(1, int(regions.max(initial=0)) + 1):
-        y, x = (int(v[0]) for v in np.nonzero(regions == number))
-        outer.append(_trace(regions == number, (y, x), 4))
-    padded = np.pad(~mask, 1, constant_values=True)
-    gaps = _label(padded, False)
-    away = gaps[0, 0]
+    for k, (top, left, bottom, right) in enumerate(found.boxes.tolist()):
+        run = found.first[k]
+        outer.append(_trace(regions[top:bottom, left:right] == k + 1, (int(found.row[run]), int(found.start[run])), 4, (top, left)))
+    # One more pixel of background on each side joins all that is open to the edge; it is region 0.
+    gaps = Regions(np.pad(~mask, 1, constant_values=True), False)
+    spots = gaps.labels()
     holes = []
-    for number in range(1, int(gaps.max(initial=0)) + 1):
-        if number == away:
+    for k, (top, left, bottom, right) in enumerate(gaps.boxes.tolist()):
+        if k == 0:
             continue
-        y, x = (int(v[0]) - 1 for v in np.nonzero(gaps == number))
+        run = gaps.first[k]
+        y, x = int(gaps.row[run]) - 1, int(gaps.start[run]) - 1
         # The pixel left of a hole's first one is foreground and lies on the hole's border.
         parent = int(regions[y, x - 1])
-        filled = gaps == number
+        filled = spots[top - 1 : bottom + 1, left - 1 : right + 1] == k + 1
         near = np.zeros_like(filled)
-        for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)):
-            near |= np.roll(np.roll(filled, dy, 0), dx, 1)
-        border = near[1:-1, 1:-1] & (regions == parent)
-        holes.append((parent - 1, _trace(border, (y, x - 1), 0) if border.any() else []))
+        near[1:] |= filled[:-1]
+        near[:-1] |= filled[1:]
+        near[:, 1:] |= filled[:, :-1]
+        near[:, :-1] |= filled[:, 1:]
+        # A hole never touches the edge, so its box with one pixel around lies in the mask.
+        corner = (top - 2, left - 2)
+        border = near & (regions[corner[0] : corner[0] + filled.shape[0], corner[1] : corner[1] + filled.shape[1]] == parent)
+        holes.append((parent - 1, _trace(border, (y, x - 1), 0, corner)))
     return outer, holes
 
 

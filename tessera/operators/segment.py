@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import Segmentation
 from tessera.functions.geometry import thumbnail_size
 from tessera.functions.pixels import resample
-from tessera.sources.slides import pixels_of
+from tessera.sources.slides import open_pixels
 
 #: A list of thumbnails (h, w, 3 bytes) to as many masks (h, w) of values from 0 to 1.
 Segmenter = Callable[[list[np.ndarray]], list[np.ndarray]]
@@ -57,7 +57,7 @@ def segment(images: DataFrame, segmenter: Segmenter, config: Segmentation) -> Da
     """
     size, most = config.batch_size, config.thumbnail_max
     plan = thumbnail_size(F.col("w"), F.col("h"), F.col("ds"), F.col("mag"), F.lit(float(config.thumbnail_power)))
-    rows = images.where("error is null").select("slide_id", "w", "h", "channels", "data", plan.alias("t")).select("slide_id", "w", "h", "channels", "data", "t.out_w", "t.out_h", "t.interpolation")
+    rows = images.where("error is null").select("slide_id", "path", "w", "h", "channels", "data", plan.alias("t")).select("slide_id", "path", "w", "h", "channels", "data", "t.level", "t.read_w", "t.read_h", "t.out_w", "t.out_h", "t.interpolation")
 
     def one(slide: int, image: np.ndarray | None, mask: np.ndarray | None, error: str | None) -> tuple:
         if mask is None:
@@ -80,11 +80,19 @@ def segment(images: DataFrame, segmenter: Segmenter, config: Segmentation) -> Da
         columns = ["slide_id", "h", "w", "data", "thumbnail", "error"]
         for batch in batches:
             held, out = [], []
-            for slide, w, h, channels, data, out_w, out_h, how in batch.itertuples(index=False):
+            for slide, path, w, h, channels, data, level, read_w, read_h, out_w, out_h, how in batch.itertuples(index=False):
                 if out_w is None or out_w != out_w:
                     out.append(one(slide, None, None, "segmentation: magnification unknown"))
                     continue
-                image = resample(pixels_of(data, int(h), int(w), int(channels)), int(out_h), int(out_w), how)
+                try:
+                    pixels = open_pixels(path, data, w, h, channels)
+                    try:
+                        image = pixels.thumbnail(int(level), int(read_w), int(read_h), int(out_w), int(out_h), how)
+                    finally:
+                        pixels.close()
+                except Exception as e:  # noqa: BLE001
+                    out.append(one(slide, None, None, f"thumbnail: {type(e).__name__}: {e}"))
+                    continue
                 held.append((slide, resample(image, *shrink(*image.shape[:2], most), "area")))
                 if len(held) == size:
                     out += flush(held)

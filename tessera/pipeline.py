@@ -17,9 +17,10 @@ from tessera.operators.embed import embed
 from tessera.operators.resume import complete_encoders, missing_features, pending
 from tessera.operators.segment import Segmenter, saturation_segmenter, segment
 from tessera.plans.catalog import Registry, default_registry
+from tessera.session import ship
 from tessera.sinks import pictures, tables
 from tessera.sources.mpp_csv import read_mpp_csv
-from tessera.sources.slides import discover, image_slides, patch_pixels, with_resolution
+from tessera.sources.slides import discover, image_slides, patch_pixels, pyramid_slides, with_resolution
 
 _POLYGON = "array<struct<x:bigint,y:bigint>>"
 
@@ -47,12 +48,14 @@ class SlideEngine:
         self.segmentation = segmentation or Segmentation()
         self.segmenter = segmenter or saturation_segmenter()
         self.registry = registry or default_registry()
+        ship(spark)
 
     def slides(self, path: str, recursive: bool = False, mpp_csv: str | None = None, mpp: float | None = None) -> DataFrame:
         """Slides with pixels, resolution and magnification, or an error. Overrides of the CSV go before ``mpp``."""
-        listed = discover(self.spark, path, recursive).select("slide_id", F.col("backend"))
-        rows = image_slides(self.spark, path, recursive).join(listed, "slide_id")
-        rows = rows.withColumn("error", F.when(F.col("backend") == "openslide", F.when(F.col("error").isNotNull(), F.lit("needs a reader of pyramidal files"))).otherwise(F.col("error")))
+        listed = discover(self.spark, path, recursive).select("slide_id", "path", "backend")
+        pyramids = F.col("backend") == "openslide"
+        images = image_slides(self.spark, path, recursive).join(listed.where(~F.coalesce(pyramids, F.lit(False))).select("slide_id", "backend"), "slide_id")
+        rows = images.unionByName(pyramid_slides(listed.where(pyramids)).withColumn("backend", F.lit("openslide")))
         rows = rows.withColumn("mpp", F.lit(mpp).cast("double"))
         if mpp_csv:
             overrides = read_mpp_csv(self.spark, mpp_csv).withColumnRenamed("mpp", "_csv")
@@ -137,20 +140,38 @@ class SlideEngine:
             masks.unpersist()
 
     def _pictures(self, slides: DataFrame, masks: DataFrame, patches: DataFrame, config: Extraction) -> None:
+        """The pictures asked for. Each kind stands alone: one that fails leaves a failure for the run and costs no other kind."""
         out = self.output
-        if out.save_images:
+
+        def images() -> None:
             pixels = patch_pixels(slides, patches, config.patch_size)
             pictures.write_files(pictures.patch_files(pixels, patches, config.patch_size), f"{out.root}/images")
-        if out.visualize_mask or out.visualize_contours or out.visualize_grids:
-            contours = ct.contours_of_masks(masks.where("error is null"), self.segmentation.mask_threshold) if out.visualize_contours else None
-            boxes = None
-            if out.visualize_grids:
-                sizes = masks.where("error is null").select("slide_id", F.col("h").alias("_h"), F.col("w").alias("_w"))
-                p = patches.join(sizes, "slide_id")
-                dx, dy = F.col("w") / F.col("_w").cast("double"), F.col("h") / F.col("_h").cast("double")
-                edge = {"x0": F.col("x") / dx, "y0": F.col("y") / dy, "x1": (F.col("x") + F.col("patch_l0")) / dx, "y1": (F.col("y") + F.col("patch_l0")) / dy}
-                boxes = p.select("slide_id", *[v.cast("bigint").alias(k) for k, v in edge.items()])
-            pictures.write_files(pictures.overlays(masks, contours, boxes, slides), f"{out.root}/visualization")
+
+        def outlines() -> DataFrame:
+            contours = ct.contours_of_masks(masks.where("error is null"), self.segmentation.mask_threshold)
+            return pictures.overlays(masks, contours, None, slides, masks_too=False)
+
+        def grids() -> DataFrame:
+            sizes = masks.where("error is null").select("slide_id", F.col("h").alias("_h"), F.col("w").alias("_w"))
+            p = patches.join(sizes, "slide_id")
+            dx, dy = F.col("w") / F.col("_w").cast("double"), F.col("h") / F.col("_h").cast("double")
+            edge = {"x0": F.col("x") / dx, "y0": F.col("y") / dy, "x1": (F.col("x") + F.col("patch_l0")) / dx, "y1": (F.col("y") + F.col("patch_l0")) / dy}
+            return pictures.overlays(masks, None, p.select("slide_id", *[v.cast("bigint").alias(k) for k, v in edge.items()]), slides, masks_too=False)
+
+        drawn = lambda make: lambda: pictures.write_files(make(), f"{out.root}/visualization")
+        kinds = [
+            ("images", out.save_images, images),
+            ("mask", out.visualize_mask, drawn(lambda: pictures.overlays(masks, None, None, slides))),
+            ("contours", out.visualize_contours, drawn(outlines)),
+            ("grids", out.visualize_grids, drawn(grids)),
+        ]
+        for name, asked, run in kinds:
+            try:
+                if asked:
+                    run()
+            except Exception as e:  # noqa: BLE001
+                failed = self.spark.createDataFrame([(out.root, f"picture {name}", f"{type(e).__name__}: {str(e)[:500]}")], "path string, stage string, error string")
+                tables.write_failures(failed, out.root)
 
     def process(self, path: str, config: Extraction, features: Features, recursive: bool = False, mpp_csv: str | None = None, mpp: float | None = None) -> Report:
         """Coordinates, then the vectors of every encoder for the slides that lack them."""

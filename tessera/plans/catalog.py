@@ -9,22 +9,75 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Widths of the known encoders. They need model packages and weights that are not part of this library.
-WIDTHS = {
-    384: "dinov2_small dinov3_vits16 dinov3_vits16_plus lunit_vit_small_patch16_dino lunit_vit_small_patch8_dino",
-    512: "biomedclip clip_rn101 clip_vit_b_16 clip_vit_b_32 conch_v1 plip quilt_b_16 quilt_b_16_pmb quilt_b_32 resnet18 resnet34",
-    640: "clip_rn50x4",
-    768: "chief-ctranspath clip_rn50x16 clip_vit_l_14 clip_vit_l_14_336 conch_v15 convnext_small convnext_tiny dinov2_base dinov3_vitb16 hibou_b omiclip phikon_v1 vit_b_16 vit_b_32",
-    1024: "clip_rn50 clip_rn50x64 convnext_base dinov2_large dinov3_vitl16 dinov3_vitl16_sat hibou_l musk pathorchestra phikon_v2 uni_v1 vit_l_16 vit_l_32",
-    1152: "medsiglip",
-    1280: "dinov3_vith16_plus vit_h_14",
-    1536: "convnext_large dinov2_giant h0_mini h_optimus_0 h_optimus_1 openmidnight prov_gigapath uni_v2",
-    2048: "lunit_resnet50_bt lunit_resnet50_mocov2 lunit_resnet50_swav resnet101 resnet152 resnet50",
-    2560: "virchow_v1 virchow_v2",
-    3072: "midnight",
-    4096: "dinov3_vit7b16 dinov3_vit7b16_sat",
+#: Names and widths of the known encoders. They need model packages and weights that are not part of this library.
+KNOWN = {
+    "resnet18": 512,
+    "resnet34": 512,
+    "resnet50": 2048,
+    "resnet101": 2048,
+    "resnet152": 2048,
+    "convnext_tiny": 768,
+    "convnext_small": 768,
+    "convnext_base": 1024,
+    "convnext_large": 1536,
+    "vit_b_16": 768,
+    "vit_b_32": 768,
+    "vit_h_14": 1280,
+    "vit_l_16": 1024,
+    "vit_l_32": 1024,
+    "dinov2_small": 384,
+    "dinov2_base": 768,
+    "dinov2_large": 1024,
+    "dinov2_giant": 1536,
+    "dinov3_vit7b16": 4096,
+    "dinov3_vit7b16_sat": 4096,
+    "dinov3_vitb16": 768,
+    "dinov3_vith16_plus": 1280,
+    "dinov3_vitl16": 1024,
+    "dinov3_vitl16_sat": 1024,
+    "dinov3_vits16": 384,
+    "dinov3_vits16_plus": 384,
+    "clip_rn50": 1024,
+    "clip_rn50x4": 640,
+    "clip_rn50x16": 768,
+    "clip_rn50x64": 1024,
+    "clip_rn101": 512,
+    "clip_vit_b_16": 512,
+    "clip_vit_b_32": 512,
+    "clip_vit_l_14": 768,
+    "clip_vit_l_14_336": 768,
+    "conch_v1": 512,
+    "conch_v15": 768,
+    "omiclip": 768,
+    "quilt_b_16": 512,
+    "quilt_b_16_pmb": 512,
+    "quilt_b_32": 512,
+    "uni_v1": 1024,
+    "uni_v2": 1536,
+    "lunit_vit_small_patch16_dino": 384,
+    "lunit_vit_small_patch8_dino": 384,
+    "lunit_resnet50_bt": 2048,
+    "lunit_resnet50_mocov2": 2048,
+    "lunit_resnet50_swav": 2048,
+    "plip": 512,
+    "medsiglip": 1152,
+    "musk": 1024,
+    "openmidnight": 1536,
+    "pathorchestra": 1024,
+    "h_optimus_0": 1536,
+    "h_optimus_1": 1536,
+    "h0_mini": 1536,
+    "hibou_b": 768,
+    "hibou_l": 1024,
+    "biomedclip": 512,
+    "phikon_v1": 768,
+    "phikon_v2": 1024,
+    "virchow_v1": 2560,
+    "virchow_v2": 2560,
+    "prov_gigapath": 1536,
+    "midnight": 3072,
+    "chief-ctranspath": 768,
 }
-KNOWN = {name: width for width, names in WIDTHS.items() for name in names.split()}
 
 
 class MissingDependency(RuntimeError):

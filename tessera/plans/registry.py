@@ -16,6 +16,7 @@ from tessera.operators import resume as rs
 from tessera.plans.catalog import KNOWN, Encoder, encoders, rgb_stats
 from tessera.plans.fixtures import fixture, with_fixtures
 from tessera.sources.mpp_csv import attach_mpp, mpp_overrides
+from tessera.sources.slides import region_reads
 
 PATCH, STEP, TARGET, MASK_W, MASK_H = 256, 256, 20, 160, 120
 QUERIES: dict = {}
@@ -170,8 +171,11 @@ def mag_infer(spark, sf):
 
 
 @query("fx_props", """WITH p AS (SELECT slide_id, lower(k) AS k, trim(v) AS v FROM fx_props WHERE v IS NOT NULL AND trim(v) <> '')
-SELECT slide_id, coalesce(max(CASE WHEN k = 'openslide.vendor' THEN v END), arg_min(v, k) FILTER (WHERE contains(k, 'vendor'))) AS vendor,
-  CAST(NULL AS VARCHAR) AS institution, CAST(NULL AS VARCHAR) AS stain FROM (SELECT DISTINCT slide_id FROM fx_props) LEFT JOIN p USING (slide_id) GROUP BY slide_id""")
+SELECT slide_id,
+  coalesce(max(CASE WHEN k = 'openslide.vendor' THEN v END), max(CASE WHEN k = 'tiff.make' THEN v END), max(CASE WHEN k = 'tiff.model' THEN v END), max(CASE WHEN k = 'hamamatsu.model' THEN v END), max(CASE WHEN k = 'leica.scanner' THEN v END), arg_min(v, k) FILTER (WHERE contains(k, 'vendor'))) AS vendor,
+  coalesce(max(CASE WHEN k = 'tiff.institution' THEN v END), max(CASE WHEN k = 'tiff.institutionname' THEN v END), max(CASE WHEN k = 'aperio.institution' THEN v END), max(CASE WHEN k = 'openslide.institution' THEN v END), max(CASE WHEN k = 'dicom.institutionname' THEN v END), arg_min(v, k) FILTER (WHERE contains(k, 'institution'))) AS institution,
+  coalesce(max(CASE WHEN k = 'aperio.stain' THEN v END), max(CASE WHEN k = 'aperio.staindescription' THEN v END), max(CASE WHEN k = 'openslide.stain' THEN v END), max(CASE WHEN k = 'hamamatsu.stain' THEN v END), max(CASE WHEN k = 'philips.stain' THEN v END), arg_min(v, k) FILTER (WHERE contains(k, 'stain'))) AS stain
+FROM (SELECT DISTINCT slide_id FROM fx_props) LEFT JOIN p USING (slide_id) GROUP BY slide_id""")
 def meta_attrs(spark, sf):
     attrs = _meta(spark, sf).select("slide_id", md.metadata_attrs(F.col("meta"), F.lit(None).cast("double"), F.lit(None).cast("int")).alias("a"))
     return attrs.select("slide_id", *[F.try_element_at("a", F.lit(k)).alias(k) for k in ("vendor", "institution", "stain")])
@@ -334,10 +338,13 @@ def feature_list_parse(spark, sf):
     return rows.select("raw", F.array_join("n", "|").alias("names"), feature_list_error(F.col("n"), sorted(KNOWN)).alias("error"))
 
 
-@query("fx_outputs", "SELECT slide_id, CAST(expected_total AS BIGINT) AS num_patches FROM fx_outputs GROUP BY ALL HAVING expected_total > 0")
+@query("fx_outputs", """WITH counted AS (SELECT slide_id, CAST(expected_total AS BIGINT) AS n FROM fx_outputs GROUP BY ALL),
+recorded AS (SELECT o_orderkey AS slide_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 5 AS BIGINT) END AS r FROM orders WHERE o_orderkey % 3 = 0)
+SELECT slide_id, coalesce(r, n) AS num_patches FROM recorded FULL JOIN counted USING (slide_id) WHERE coalesce(r, n) > 0""")
 def existing_outputs(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("slide_stem"))
-    attrs = rows.select("slide_stem", F.lit(None).cast("bigint").alias("num_patches")).limit(0)
+    key = F.col("o_orderkey")
+    attrs = spark.read.parquet(f"{sf}/orders.parquet").where(key % 3 == 0).select(key.alias("slide_stem"), F.when(key % 2 == 0, key % 5).cast("bigint").alias("num_patches"))
     return rs.existing_outputs(attrs, rows).withColumnRenamed("slide_stem", "slide_id")
 
 
@@ -367,10 +374,10 @@ def _features(spark, sf):
 
 
 @query("", """WITH f AS (SELECT label AS slide_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS patch_idx, embedding FROM embeddings)
-SELECT slide_id, patch_idx, patch_idx * 256 AS x, CAST(embedding[1] AS DOUBLE) AS first_value FROM f WHERE patch_idx < 40""")
+SELECT slide_id, patch_idx, patch_idx * 256 AS x, CAST(embedding[1] AS DOUBLE) AS first_value FROM f""")
 def feature_join(spark, sf):
     features = _features(spark, sf)
-    patches = features.where("patch_idx < 40").select("slide_id", "patch_idx", (F.col("patch_idx") * 256).alias("x"))
+    patches = features.select("slide_id", "patch_idx", (F.col("patch_idx") * 256).alias("x"))
     return ft.join_features(patches, features).select("slide_id", "patch_idx", "x", F.get("embedding", F.lit(0)).cast("double").alias("first_value"))
 
 
@@ -402,11 +409,37 @@ def grid_overlay_boxes(spark, sf):
     return p.select("slide_id", "patch_idx", *[v.cast("bigint").alias(k) for k, v in box.items()])
 
 
-@query("", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {d})" for n, d in sorted(KNOWN.items())) + ") t(name, dim)")
+@query("", """SELECT * FROM (VALUES ('resnet18', 512), ('resnet34', 512), ('resnet50', 2048), ('resnet101', 2048), ('resnet152', 2048), ('convnext_tiny', 768), ('convnext_small', 768),
+('convnext_base', 1024), ('convnext_large', 1536), ('vit_b_16', 768), ('vit_b_32', 768), ('vit_h_14', 1280), ('vit_l_16', 1024), ('vit_l_32', 1024),
+('dinov2_small', 384), ('dinov2_base', 768), ('dinov2_large', 1024), ('dinov2_giant', 1536), ('dinov3_vit7b16', 4096), ('dinov3_vit7b16_sat', 4096),
+('dinov3_vitb16', 768), ('dinov3_vith16_plus', 1280), ('dinov3_vitl16', 1024), ('dinov3_vitl16_sat', 1024), ('dinov3_vits16', 384),
+('dinov3_vits16_plus', 384), ('clip_rn50', 1024), ('clip_rn50x4', 640), ('clip_rn50x16', 768), ('clip_rn50x64', 1024), ('clip_rn101', 512),
+('clip_vit_b_16', 512), ('clip_vit_b_32', 512), ('clip_vit_l_14', 768), ('clip_vit_l_14_336', 768), ('conch_v1', 512), ('conch_v15', 768),
+('omiclip', 768), ('quilt_b_16', 512), ('quilt_b_16_pmb', 512), ('quilt_b_32', 512), ('uni_v1', 1024), ('uni_v2', 1536),
+('lunit_vit_small_patch16_dino', 384), ('lunit_vit_small_patch8_dino', 384), ('lunit_resnet50_bt', 2048), ('lunit_resnet50_mocov2', 2048),
+('lunit_resnet50_swav', 2048), ('plip', 512), ('medsiglip', 1152), ('musk', 1024), ('openmidnight', 1536), ('pathorchestra', 1024),
+('h_optimus_0', 1536), ('h_optimus_1', 1536), ('h0_mini', 1536), ('hibou_b', 768), ('hibou_l', 1024), ('biomedclip', 512), ('phikon_v1', 768),
+('phikon_v2', 1024), ('virchow_v1', 2560), ('virchow_v2', 2560), ('prov_gigapath', 1536), ('midnight', 3072), ('chief-ctranspath', 768)) t(name, dim)""")
 def encoder_catalog(spark, sf):
     return encoders(spark)
 
 
+@query("", "WITH " + PIXEL_SQL + """, win AS (SELECT DISTINCT vec_id, vec_id % 11 - 3 AS x0, vec_id % 7 - 2 AS y0 FROM rgb)
+SELECT w.vec_id, CAST(coalesce(sum(r), 0) AS BIGINT) AS r, CAST(coalesce(sum(g), 0) AS BIGINT) AS g, CAST(coalesce(sum(b), 0) AS BIGINT) AS b FROM win w
+LEFT JOIN rgb p ON p.vec_id = w.vec_id AND p.i % 8 BETWEEN x0 AND x0 + 4 AND p.i // 8 BETWEEN y0 AND y0 + 3 GROUP BY w.vec_id""")
+def region_read(spark, sf):
+    """A region of 5 by 4 pixels of each picture, partly or wholly outside of it, where it is black: sums of its colours."""
+    listed = _pixels(spark, sf).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", "b", "g", "r"))).alias("p"))
+    hexed = F.array_join(F.transform(F.flatten(F.transform("p", lambda q: F.array(q["b"], q["g"], q["r"]))), lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    eight = F.lit(8).cast("long")
+    slides = listed.select(F.col("vec_id").alias("slide_id"), F.lit("none").alias("path"), eight.alias("w"), eight.alias("h"), F.lit(3).alias("channels"), F.unhex(hexed).alias("data"), F.lit(None).cast("string").alias("error"))
+    key = F.col("slide_id")
+    regions = slides.select("slide_id", F.lit(0).cast("long").alias("region_id"), (key % 11 - 3).alias("x"), (key % 7 - 2).alias("y"), F.lit(0).alias("level"), F.lit(5).cast("long").alias("w"), F.lit(4).cast("long").alias("h"))
+    each = region_reads(slides, regions).select("slide_id", "data", F.posexplode(F.expr("sequence(1, length(data))")).alias("k", "at"))
+    value = F.conv(F.hex(F.expr("substring(data, at, 1)")), 16, 10).cast("long")
+    return each.groupBy(F.col("slide_id").alias("vec_id")).agg(*[F.sum(F.when(F.col("k") % 3 == i, value).otherwise(0)).alias(c) for i, c in enumerate("rgb")])
+
+
 @query("fx_slides", "SELECT slide_id, '/out/patches/slide_stem=' || stem AS patches, '/out/patches/' || stem || '.lock' AS lock, '/out/images/' || stem AS images, '/out/visualization' AS visualization FROM fx_slides")
 def output_layout(spark, sf):
     return fixture(spark, sf, "fx_slides").select("slide_id", *[c.alias(n) for n, c in output_paths("/out", F.col("stem")).items()])
@@ -424,7 +457,7 @@ def mask_components(spark, sf):
         for batch in batches:
             rows = []
             for vec, e in zip(batch["vec_id"], batch["embedding"]):
-                labels = ct._label(np.asarray(e, np.float64).reshape(8, 8) + 0.5 > 0.5, True)
+                labels = ct.Regions(np.asarray(e, np.float64).reshape(8, 8) + 0.5 > 0.5, True).labels()
                 if labels.max():
                     rows.append((vec, int(labels.max()), int(np.bincount(labels.ravel())[1:].max())))
             yield pd.DataFrame(rows, columns=["vec_id", "components", "largest"])

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+from pathlib import Path
+from tempfile import mkdtemp
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results or plans; cluster deployments put the same ones into spark-defaults.
@@ -25,3 +30,19 @@ def local_session(app: str = "tessera", cpus: int | None = None, memory: str = "
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of all executors, once for each application, so that it need not be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    folder = mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    top = Path(__file__).resolve().parent
+    package = shutil.copytree(top, Path(folder, "package", top.name), ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{top.name}", "zip", package.parent))
+    _shipped.add(app)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -10,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +29,33 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, by its scheme (file, hdfs, s3, gs and so on), and the folder's path there."""
+    if "://" in folder:
+        return fs.FileSystem.from_uri(folder)
+    return fs.LocalFileSystem(), folder.removeprefix("file:")
+
+
 def write_files(files: DataFrame, folder: str) -> int:
     """Writes (name, content) rows below ``folder``, which all executors share; the number of files.
 
     Each file appears under its name only when it is whole, so a task that runs
-    twice does no harm.
+    twice does no harm: it is renamed into place, or put at once where the store has no renaming.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = 0
+        store, base = store_of(folder)
+        renames = store.type_name in ("local", "hdfs", "subtree")
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"]):
-                target = os.path.join(folder, name)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{uuid.uuid4().hex}.tmp"
-                with open(part, "wb") as f:
+                target = f"{base.rstrip('/')}/{name}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}.tmp" if renames else target
+                with store.open_output_stream(part) as f:
                     f.write(content)
-                os.replace(part, target)
+                if renames:
+                    store.move(part, target)
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
@@ -105,8 +115,8 @@ def grid_picture(thumbnail: np.ndarray, boxes: Sequence[tuple[int, int, int, int
     return out
 
 
-def overlays(masks: DataFrame, contours: DataFrame | None, boxes: DataFrame | None, stems: DataFrame) -> DataFrame:
-    """(name, content) of a slide's overlays; those whose table is None are left out.
+def overlays(masks: DataFrame, contours: DataFrame | None, boxes: DataFrame | None, stems: DataFrame, masks_too: bool = True) -> DataFrame:
+    """(name, content) of a slide's overlays; those whose table is None are left out, those of the mask without ``masks_too``.
 
     ``masks`` has the thumbnail and mask, ``contours`` (slide_id, kind, points
     in mask pixels), ``boxes`` (slide_id, x0, y0, x1, y1 in thumbnail pixels).
@@ -130,7 +140,7 @@ def overlays(masks: DataFrame, contours: DataFrame | None, boxes: DataFrame | No
             out = []
             for r in batch.itertuples(index=False):
                 image = np.frombuffer(r.thumbnail, np.uint8).reshape(int(r.h), int(r.w), 3)
-                pictures = dict(zip(("_mask_bw", "_mask"), mask_picture(image, np.asarray(r.data, np.float32).reshape(int(r.h), int(r.w)))))
+                pictures = dict(zip(("_mask_bw", "_mask"), mask_picture(image, np.asarray(r.data, np.float32).reshape(int(r.h), int(r.w))))) if masks_too else {}
                 if with_contours:
                     pictures["_contours"] = contour_picture(image, [] if r.tissue is None else r.tissue, [] if r.holes is None else r.holes, (1.0, 1.0))
                 if with_boxes:

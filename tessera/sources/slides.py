@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.functions.metadata import infer_mag, mpp_error
+from tessera.functions.metadata import extract_mag, extract_mpp, mpp_error
 from tessera.functions.paths import SUFFIXES, backend_of, is_supported, stem_of
 from tessera.functions.pixels import as_bytes, resample
 
@@ -96,8 +96,13 @@ def image_slides(spark: SparkSession, path: str, recursive: bool = False) -> Dat
 
 
 def with_resolution(slides: DataFrame, mpp: str = "mpp") -> DataFrame:
-    """Standard images carry no resolution of their own: adds mag and joins the reason to ``error``."""
-    return slides.withColumns({"mag": infer_mag(F.col(mpp)), "error": F.coalesce("error", F.concat(F.lit("resolution "), mpp_error(F.col(mpp))))})
+    """Adds mag and completes mpp, which is an override or null; the reason why there is none joins ``error``.
+
+    Pyramidal files tell their resolution and objective in ``meta``; standard images carry none of their own.
+    """
+    own = F.coalesce(F.col(mpp), extract_mpp(F.col("meta")))
+    found = slides.withColumn(mpp, own)
+    return found.withColumns({"mag": extract_mag(F.col("meta"), F.col(mpp)), "error": F.coalesce("error", F.concat(F.lit("resolution "), mpp_error(F.col(mpp))))})
 
 
 def level_size(dims: Column, level: Column | int) -> Column:
@@ -120,27 +125,148 @@ def crop(pixels: np.ndarray, x: int, y: int, w: int, h: int) -> np.ndarray:
     return out
 
 
-def patch_pixels(images: DataFrame, patches: DataFrame, size: int, chunk: int = 256) -> DataFrame:
+class Pixels:
+    """The pixels of one slide on an executor: regions at a level, and the whole at another size."""
+
+    def region(self, x: int, y: int, level: int, w: int, h: int) -> np.ndarray:
+        """RGB bytes (h, w, 3) of a region that begins at (x, y) of level 0; ``w`` and ``h`` are pixels of ``level``."""
+        raise NotImplementedError
+
+    def thumbnail(self, level: int, w: int, h: int, out_w: int, out_h: int, how: str) -> np.ndarray:
+        """``level``, which is (w, h), at another size."""
+        return resample(self.region(0, 0, level, w, h), out_h, out_w, how)
+
+    def close(self) -> None:
+        pass
+
+
+class ImagePixels(Pixels):
+    """A decoded standard image: one level."""
+
+    def __init__(self, pixels: np.ndarray) -> None:
+        self.pixels = pixels
+
+    def region(self, x: int, y: int, level: int, w: int, h: int) -> np.ndarray:
+        if level:
+            raise ValueError(f"a standard image has no level {level}")
+        return crop(self.pixels, x, y, w, h)
+
+
+class PyramidPixels(Pixels):
+    """A pyramidal file, of which only the regions asked for are decoded. Needs the openslide package where it is opened."""
+
+    #: Pixels that one read returns at most; a larger thumbnail is put together in bands.
+    BAND = 1 << 24
+
+    def __init__(self, path: str) -> None:
+        import openslide
+
+        self.slide = openslide.OpenSlide(local_path(path))
+
+    def region(self, x: int, y: int, level: int, w: int, h: int) -> np.ndarray:
+        rows = max(1, self.BAND // max(1, w))
+        down = self.slide.level_downsamples[level]
+        parts = [np.asarray(self.slide.read_region((x, y + round(top * down)), level, (w, min(rows, h - top)))) for top in range(0, h, rows)]
+        return flatten(np.concatenate(parts))
+
+    def close(self) -> None:
+        self.slide.close()
+
+
+def flatten(pixels: np.ndarray) -> np.ndarray:
+    """RGB bytes of RGBA ones; what lies outside a slide is transparent and comes out black."""
+    return np.ascontiguousarray(pixels[..., :3] * (pixels[..., 3:] > 0)).astype(np.uint8) if pixels.shape[-1] == 4 else pixels
+
+
+def local_path(path: str) -> str:
+    """The path under which executors open a file that is on a file system they mount."""
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    if "://" in path:
+        raise ValueError(f"pyramidal files are opened by path; {path} is not on a mounted file system")
+    return path
+
+
+def open_pixels(path: str, data: bytes | None, w: int, h: int, channels: int | None) -> Pixels:
+    """Pixels of a slide row: those of ``data`` if the row carries any, else those of its file."""
+    return PyramidPixels(path) if data is None else ImagePixels(pixels_of(data, int(h), int(w), int(channels)))
+
+
+def pyramid_slides(listed: DataFrame) -> DataFrame:
+    """Pyramidal files of a listing (path) as slides, with the columns of ``image_slides`` and no ``data``: metadata read in tasks, a file at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [describe(p) for p in batch["path"]]
+            yield pd.DataFrame(rows, columns=["path", "w", "h", "ds", "dims", "meta", "error"]).astype({"w": "Int64", "h": "Int64"})
+
+    found = listed.select("path").repartition("path").mapInPandas(run, SLIDE_SCHEMA)
+    return found.select(
+        F.xxhash64("path").alias("slide_id"), "path", stem_of(F.col("path")).alias("stem"), "w", "h", "ds", "dims", "meta", "error",
+        F.lit(None).cast("int").alias("channels"), F.lit(None).cast("binary").alias("data"),
+    )
+
+
+def region_reads(slides: DataFrame, regions: DataFrame) -> DataFrame:
+    """(slide_id, region_id, w, h, data): RGB bytes of each of ``regions`` (slide_id, region_id, x, y, level, w, h).
+
+    x and y are at level 0; what lies outside a slide is black. A level that a slide lacks fails its read.
+    """
+    wanted = regions.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("region_id", "x", "y", "level", "w", "h"))).alias("regions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for slide, path, w, h, channels, data, found in batch.itertuples(index=False):
+                pixels = open_pixels(path, data, w, h, channels)
+                try:
+                    for r in found:
+                        cut = pixels.region(r["x"], r["y"], r["level"], r["w"], r["h"])
+                        yield pd.DataFrame({"slide_id": [slide], "region_id": [r["region_id"]], "w": [r["w"]], "h": [r["h"]], "data": [cut.tobytes()]})
+                finally:
+                    pixels.close()
+
+    rows = slides.where("error is null").select("slide_id", "path", "w", "h", "channels", "data").join(wanted, "slide_id")
+    return rows.mapInPandas(run, "slide_id bigint, region_id bigint, w bigint, h bigint, data binary")
+
+
+def patch_pixels(slides: DataFrame, patches: DataFrame, size: int, chunk: int = 256) -> DataFrame:
     """(slide_id, patch_idx, data): RGB bytes of every patch, scaled to ``size`` where it was read at another one.
 
     A slide's coordinates travel to its pixels, not the pixels to each
-    coordinate; patches leave in chunks, so a task holds one image and one chunk.
+    coordinate; patches leave in chunks, so a task holds one image, or one open pyramid, and one chunk.
     """
-    coords = patches.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("patch_idx", "x", "y", "read"))).alias("coords"))
+    coords = patches.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("patch_idx", "x", "y", "read", "level"))).alias("coords"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for slide, w, h, channels, data, found in batch.itertuples(index=False):
-                whole = pixels_of(data, int(h), int(w), int(channels))
-                for i in range(0, len(found), chunk):
-                    part = found[i : i + chunk]
-                    cut = [resample(crop(whole, c["x"], c["y"], c["read"], c["read"]), size, size).tobytes() for c in part]
-                    yield pd.DataFrame({"slide_id": slide, "patch_idx": [c["patch_idx"] for c in part], "data": cut})
-
-    rows = images.where("error is null").select("slide_id", "w", "h", "channels", "data").join(coords, "slide_id")
+            for slide, path, w, h, channels, data, found in batch.itertuples(index=False):
+                pixels = open_pixels(path, data, w, h, channels)
+                try:
+                    for i in range(0, len(found), chunk):
+                        part = found[i : i + chunk]
+                        cut = [resample(pixels.region(c["x"], c["y"], c["level"], c["read"], c["read"]), size, size).tobytes() for c in part]
+                        yield pd.DataFrame({"slide_id": slide, "patch_idx": [c["patch_idx"] for c in part], "data": cut})
+                finally:
+                    pixels.close()
+
+    rows = slides.where("error is null").select("slide_id", "path", "w", "h", "channels", "data").join(coords, "slide_id")
     return rows.mapInPandas(run, "slide_id bigint, patch_idx bigint, data binary")
 
 
+def describe(path: str) -> tuple:
+    """A row of SLIDE_SCHEMA for a pyramidal file; where it does not open, an error instead of sizes."""
+    try:
+        import openslide
+    except ImportError as e:
+        return path, None, None, None, None, None, f"openslide is not installed: {e}"
+    try:
+        with openslide.OpenSlide(local_path(path)) as s:
+            dims = [{"w": int(w), "h": int(h)} for w, h in s.level_dimensions]
+            return path, dims[0]["w"], dims[0]["h"], [float(d) for d in s.level_downsamples], dims, dict(s.properties), None
+    except Exception as e:  # noqa: BLE001
+        return path, None, None, None, None, None, f"{type(e).__name__}: {e}"
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         super().__init__(path)
@@ -155,17 +281,7 @@ class _PyramidReader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        try:
-            import openslide
-        except ImportError as e:
-            yield (partition.path, None, None, None, None, None, f"openslide is not installed: {e}")
-            return
-        try:
-            with openslide.OpenSlide(partition.path) as s:
-                dims = [{"w": int(w), "h": int(h)} for w, h in s.level_dimensions]
-                yield (partition.path, dims[0]["w"], dims[0]["h"], [float(d) for d in s.level_downsamples], dims, dict(s.properties), None)
-        except Exception as e:  # noqa: BLE001
-            yield (partition.path, None, None, None, None, None, f"{type(e).__name__}: {e}")
+        yield describe(partition.path)
 
 
 class PyramidSource(DataSource):

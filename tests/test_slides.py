@@ -14,7 +14,7 @@ from tessera.pipeline import SlideEngine
 from tessera.plans.catalog import Encoder, MissingDependency, Registry, default_registry, rgb_stats
 from tessera.sinks import tables
 from tessera.sinks.pictures import png
-from tessera.sources.slides import Backends, PyramidSource, crop, discover, stem_collisions
+from tessera.sources.slides import Backends, PyramidSource, crop, discover, region_reads, stem_collisions
 from tessera.streaming.discovery import append_new_slides
 
 
@@ -170,6 +170,88 @@ def test_pyramids_need_their_package(spark):
     assert row["w"] is None and row["error"]
 
 
+FAKE = '''
+"""A stand-in for the package that opens pyramids: a file names its properties, level 0 is a pattern of its coordinates."""
+import json
+import numpy as np
+
+
+class OpenSlide:
+    def __init__(self, path):
+        with open(path) as f:
+            self.properties = json.load(f)
+        self.level_dimensions, self.level_downsamples = ((640, 480), (320, 240), (160, 120)), (1.0, 2.0, 4.0)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *a):
+        pass
+
+    def close(self):
+        pass
+
+    def read_region(self, at, level, size):
+        down = int(self.level_downsamples[level])
+        y, x = np.mgrid[at[1] : at[1] + size[1] * down : down, at[0] : at[0] + size[0] * down : down]
+        out = np.stack([x % 200 + 20, y % 100, (x + y) % 50, np.full(x.shape, 255)], axis=-1)
+        out[(x < 0) | (y < 0) | (x >= 640) | (y >= 480)] = 0
+        tissue = (x >= 64) & (x < 400) & (y >= 64) & (y < 300)
+        out[~tissue & (out[..., 3] > 0)] = (250, 250, 250, 255)
+        return out.astype(np.uint8)
+'''
+
+
+@pytest.fixture(scope="module")
+def pyramids(spark, tmp_path_factory):
+    """A folder of two pyramids, one without a resolution, one that does not open, and a stand-in for their package."""
+    top = tmp_path_factory.mktemp("pyramids")
+    (top / "openslide.py").write_text(FAKE)
+    spark.sparkContext.addPyFile(str(top / "openslide.py"))
+    src = top / "in"
+    src.mkdir()
+    (src / "a.svs").write_text('{"openslide.mpp-x": "0.25", "openslide.objective-power": "40", "openslide.vendor": "maker"}')
+    (src / "b.ndpi").write_text("{}")
+    (src / "c.mrxs").write_text("not a slide")
+    return top
+
+
+def test_pyramids_end_to_end(spark, pyramids):
+    root = str(pyramids / "out")
+    registry = Registry()
+    registry.register_function("rgb_stats", 6, rgb_stats)
+    engine = SlideEngine(spark, Output(root, visualize_mask=True), Segmentation(device="cpu", thumbnail_power=10.0), registry=registry)
+    report = engine.process(str(pyramids / "in"), Extraction(64, 20), Features(("rgb_stats",), device="cpu"))
+    assert (report.slides, report.failures) == (3, 2)
+    patches = tables.read_patches(spark, root).toPandas()
+    assert set(patches["slide_stem"]) == {"a"} and set(patches["level"]) == {1} and len(patches) == report.features["rgb_stats"] > 5
+    attrs = {r["slide_stem"]: r for r in tables.read_attrs(spark, root).collect()}["a"]["attrs"]
+    assert attrs["vendor"] == "maker" and attrs["magnification"] == "40" and float(attrs["mpp"]) == 0.25
+    assert {r["stage"] for r in spark.read.parquet(f"{root}/failures").collect()} == {"open"}
+    # b.ndpi has no resolution of its own; an override gives it one.
+    slides = engine.slides(str(pyramids / "in"), mpp=0.5)
+    assert {r["stem"]: (r["mag"], r["error"] is None) for r in slides.select("stem", "mag", "error").collect() if r["stem"] != "c"} == {"a": (40, True), "b": (20, True)}
+    one = slides.where("stem = 'a'")
+    regions = one.select("slide_id").join(spark.createDataFrame([(1, 100, 80, 0, 3, 2), (2, 100, 80, 2, 3, 2), (3, -2, -2, 0, 2, 2)], "region_id long, x long, y long, level int, w long, h long"))
+    got = {r["region_id"]: np.frombuffer(r["data"], np.uint8).reshape(2, -1, 3) for r in region_reads(one, regions).collect()}
+    assert got[1][0].tolist() == [[120, 80, 30], [121, 80, 31], [122, 80, 32]] and got[2][1].tolist() == [[120, 84, 34], [124, 84, 38], [128, 84, 42]] and got[3].max() == 0
+
+
+def test_a_failing_picture_costs_no_other(spark, folder, monkeypatch):
+    from tessera.sinks import pictures
+
+    def broken(*a, **b):
+        raise OSError("disk is full")
+
+    monkeypatch.setattr(pictures, "patch_files", broken)
+    root = str(folder / "pictured")
+    engine = SlideEngine(spark, Output(root, save_images=True, visualize_mask=True), Segmentation(device="cpu", thumbnail_power=5.0))
+    assert engine.segment_and_get_coords(str(folder / "in"), Extraction(64, 20), mpp=0.5).patches > 5
+    assert tables.read_attrs(spark, root).count() == 3
+    assert ("picture images", "OSError: disk is full") in {(r["stage"], r["error"]) for r in spark.read.parquet(f"{root}/failures").collect()}
+    assert (folder / "pictured" / "visualization" / "one_mask.png").exists()
+
+
 def test_streamed_discovery(spark, folder):
     out, check = str(folder / "listing"), str(folder / "check")
     append_new_slides(spark, str(folder / "in"), out, check).awaitTermination(120)
