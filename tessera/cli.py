@@ -29,6 +29,10 @@ def parser() -> argparse.ArgumentParser:
     coords.add_argument("--tissue-thresh", type=float, default=0.0)
     coords.add_argument("--white-thresh", type=int, default=15)
     coords.add_argument("--black-thresh", type=int, default=50)
+    unused = "accepted and without effect: a task holds one slide, Spark's task slots bound the rest"
+    coords.add_argument("--write-batch", type=int, default=8192, help=unused)
+    coords.add_argument("--patch-workers", type=int, help=unused)
+    coords.add_argument("--max-open-slides", type=int, default=200, help=unused)
     coords.add_argument("--fast-mode", action=argparse.BooleanOptionalAction, default=True)
     coords.add_argument("--save-images", action="store_true")
     for kind in ("grids", "mask", "contours"):

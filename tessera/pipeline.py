@@ -104,6 +104,10 @@ class SlideEngine:
 
     def detect_tissue(self, path: str, recursive: bool = False, mpp_csv: str | None = None, mpp: float | None = None) -> Report:
         """Mask overlays of every slide."""
+        with tables.only_run(self.spark, self.output.root):
+            return self._detect(path, recursive, mpp_csv, mpp)
+
+    def _detect(self, path: str, recursive: bool, mpp_csv: str | None, mpp: float | None) -> Report:
         slides = self.slides(path, recursive, mpp_csv, mpp)
         masks = self.masks(slides).persist()
         try:
@@ -116,6 +120,10 @@ class SlideEngine:
 
     def segment_and_get_coords(self, path: str, config: Extraction, recursive: bool = False, mpp_csv: str | None = None, mpp: float | None = None) -> Report:
         """Coordinates, attributes and the pictures asked for, of slides that have none yet."""
+        with tables.only_run(self.spark, self.output.root):
+            return self._coords(path, config, recursive, mpp_csv, mpp)
+
+    def _coords(self, path: str, config: Extraction, recursive: bool, mpp_csv: str | None, mpp: float | None) -> Report:
         root = self.output.root
         slides = self.slides(path, recursive, mpp_csv, mpp)
         every = slides.select("slide_id").count()
@@ -175,9 +183,10 @@ class SlideEngine:
 
     def process(self, path: str, config: Extraction, features: Features, recursive: bool = False, mpp_csv: str | None = None, mpp: float | None = None) -> Report:
         """Coordinates, then the vectors of every encoder for the slides that lack them."""
-        report = self.segment_and_get_coords(path, config, recursive, mpp_csv, mpp)
-        report.features = self.embed_all(self.slides(path, recursive, mpp_csv, mpp), config, features)
-        return report
+        with tables.only_run(self.spark, self.output.root):
+            report = self._coords(path, config, recursive, mpp_csv, mpp)
+            report.features = self.embed_all(self.slides(path, recursive, mpp_csv, mpp), config, features)
+            return report
 
     def embed_all(self, slides: DataFrame, config: Extraction, features: Features) -> dict[str, int]:
         """Vectors written for each encoder, by name. An encoder that cannot be built leaves a failure for each slide it was to do."""

@@ -7,6 +7,8 @@ leaves the former state and a rerun repeats only what is missing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -19,6 +21,24 @@ PASSPORT_VERSION = 2
 ATTRS_SCHEMA = "slide_stem string, slide_id bigint, num_patches bigint, attrs map<string,string>"
 
 
+@contextmanager
+def only_run(spark: SparkSession, root: str) -> Iterator[None]:
+    """Holds the file ``run.lock`` below ``root``; another run that writes there meanwhile is refused.
+
+    The file is created or refused in one step, also on HDFS. It goes with the run, or with the driver's JVM; one
+    that a machine failure left behind names its application and is removed by hand.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/run.lock")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.createNewFile(path):
+        raise RuntimeError(f"another run writes to {root}; if none does, remove {path.toString()}")
+    files.deleteOnExit(path)
+    try:
+        yield
+    finally:
+        files.delete(path, False)
+
+
 def _replace(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 

@@ -124,7 +124,7 @@ def test_settings_are_checked(make):
 
 def test_command_line(capsys):
     assert main(["info"]) == 0 and "openslide" in capsys.readouterr().out
-    assert main(["process", "/none", "-o", "/tmp/x", "--patch-size", "0", "--target-mag", "20", "--feature-extractors", "uni_v1"]) == 2
+    assert main(["process", "/none", "-o", "/tmp/x", "--write-batch", "9", "--patch-workers", "2", "--max-open-slides", "3", "--patch-size", "0", "--target-mag", "20", "--feature-extractors", "uni_v1"]) == 2
     assert encoder_names("UNI_V1, resnet50", ["uni_v1", "resnet50"]) == ("uni_v1", "resnet50")
     for bad in (" , ", "a", "uni_v1 uni_v1"):
         with pytest.raises(ValueError):
@@ -252,6 +252,14 @@ def test_a_failing_picture_costs_no_other(spark, folder, monkeypatch):
     assert (folder / "pictured" / "visualization" / "one_mask.png").exists()
 
 
+def test_one_run_at_a_time(spark, folder):
+    root = str(folder / "shared")
+    engine = SlideEngine(spark, Output(root), Segmentation(device="cpu"))
+    with tables.only_run(spark, root), pytest.raises(RuntimeError, match="another run"):
+        engine.segment_and_get_coords(str(folder / "in"), Extraction(64, 20), mpp=0.5)
+    assert not (folder / "shared" / "run.lock").exists()
+
+
 def test_streamed_discovery(spark, folder):
     out, check = str(folder / "listing"), str(folder / "check")
     append_new_slides(spark, str(folder / "in"), out, check).awaitTermination(120)
