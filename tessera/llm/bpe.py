@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 #: Words whose ids a task remembers; beyond that it forgets them all and starts anew.
 CACHE_WORDS = 500_000
@@ -194,7 +194,7 @@ def _vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _portions(texts: list[str | None], chars: int = 12_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def _portions(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of bounded total length (one text at least), so that pieces in memory are bounded."""
     start, held = 0, 0
     for i, t in enumerate(texts):
@@ -226,7 +226,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), arrays], ["id", "token_ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, token_ids array<int>")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean("bpe", run, _codec.cache_clear), f"id {kind}, token_ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -241,7 +241,7 @@ def decode_tokens(rows: DataFrame, vocabulary: str, pattern: str, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "bytes"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    out = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, bytes binary")
+    out = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(lean("bpe", run, _codec.cache_clear), f"id {kind}, bytes binary")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -263,7 +263,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean("bpe", run, _codec.cache_clear), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 

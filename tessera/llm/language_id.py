@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, small, table
+from .common import Workspace, lean, small, table
 
 #: Bounds of the training sample: documents, and bytes of a dictionary, for each language.
 SAMPLE_ROWS = 400
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "lang_pred", "score", "margin", "rejected"])
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept)) + ", lang_pred string, score double, margin double, rejected boolean"
-    out = docs.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, kept)]).mapInArrow(run, schema)
+    out = docs.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, kept)]).mapInArrow(lean("language_id", run, _compressors.cache_clear), schema)
     return out.toDF(*[f.name for f in kept], "lang_pred", "score", "margin", "rejected")
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, small, table
+from .common import Workspace, lean, small, table
 from .components import components
 
 SEED = 42
@@ -59,7 +59,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, print, fp) of every row; print is a hash of the text, fp the fingerprint as a signed 64-bit number."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints, f"id {kind}, print bigint, fp bigint")
+    return rows.mapInArrow(lean("simhash", _fingerprints), f"id {kind}, print bigint, fp bigint")
 
 
 def schemes(distinct: int) -> tuple[int, int]:
@@ -215,7 +215,7 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, scheme: tuple[int, i
         pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"))))
         keys = dealt.select("key", "fp", pair.alias("p")).select(F.xxhash64("key", "p.i", "p.j").alias("key"), "fp")
     sorted_keys = keys.repartition("key").sortWithinPartitions("key")
-    return sorted_keys.mapInArrow(_bucket_links(max_bits), "a bigint, b bigint").distinct()
+    return sorted_keys.mapInArrow(lean("simhash", _bucket_links(max_bits)), "a bigint, b bigint").distinct()
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int = MAX_BITS, scheme: tuple[int, int] | None = None, block: int = BLOCK) -> DataFrame:

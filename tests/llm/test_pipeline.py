@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm.bpe import parse_ranks
+from tessera.llm.bpe import _portions, parse_ranks
 from tessera.llm.language_id import MIN_MARGIN, classify, train_model
 from tessera.llm.mixing import mix
 
@@ -126,3 +126,36 @@ def test_stages_keep_columns_of_any_name(spark, folder):
             assert {r[c] for c in extra if c not in changed | {"score"}} <= {"clash"}, name
         assert stage(spark, docs.limit(0), folder).count() == 0, name
     assert corpus_pipeline.tokenise(spark, docs.limit(0), folder).count() == 0
+
+
+def test_stages_leave_no_model_in_the_workers(spark, folder):
+    """A worker that has encoded forgets the codec when it tells languages, and the compressors when it encodes again."""
+
+    def held(batches):
+        import pyarrow as pa
+
+        from tessera.llm import bpe, language_id
+
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"codecs": [bpe._codec.cache_info().currsize], "compressors": [language_id._compressors.cache_info().currsize]})
+
+    def most():
+        rows = spark.range(0, 16, 1, 16).mapInArrow(held, "codecs long, compressors long").collect()
+        return max(r["codecs"] for r in rows), max(r["compressors"] for r in rows)
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(16)
+    drain = lambda df: df.write.format("noop").mode("overwrite").save()
+    # Idle workers are taken at random, so each stage has tasks enough to reach all of them.
+    drain(corpus_pipeline.tokenise(spark, docs, folder))
+    assert most()[0] == 1
+    drain(corpus_pipeline.language_id(spark, docs, folder))
+    assert most() == (0, 1)
+
+
+def test_bpe_takes_texts_in_small_portions():
+    """Words of a portion are in memory at once, as is what becomes of them; a long text stays whole."""
+    texts = ["word " * 1000] * 2000 + [None, "", "word " * 800_000, "end"]
+    parts = list(_portions(texts))
+    assert [t for _, part in parts for t in part] == texts
+    assert [at for at, _ in parts] == [sum(len(p) for _, p in parts[:k]) for k in range(len(parts))]
+    assert all(sum(len(t or "") for t in part) <= 2_000_000 or len(part) == 1 for _, part in parts)
