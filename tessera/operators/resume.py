@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that slides are numbered in, at most, and values drawn for each of them to set their bounds; every slide is in one.
+MAX_RANGES, DRAWN = 64, 50
+
 
 def existing_outputs(attrs: DataFrame, patches: DataFrame) -> DataFrame:
     """(slide_stem, num_patches) of slides with patches: the recorded number, else a count; none at all means redo."""
@@ -39,17 +42,33 @@ def progress(slides: DataFrame, required: list[str], complete: DataFrame, slide:
     return total.select(need.alias("required_units"), "done_units", (need - F.col("done_units")).alias("missing_units"))
 
 
+def _part_of(column: str, bounds: list[str]) -> Column:
+    """Number of ``bounds`` that are not above the column, by halves; null counts as above all."""
+
+    def halves(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(column) < F.lit(bounds[mid]), halves(low, mid)).otherwise(halves(mid + 1, high))
+
+    return halves(0, len(bounds))
+
+
 def batches(slides: DataFrame, size: int, order: str) -> DataFrame:
-    """``slides`` with batch_no: runs of ``size`` slides by ``order``.
+    """``slides`` with batch_no: runs of ``size`` slides by ``order``, nulls last; slides that tie there go by their other columns.
 
-    Ordinals come from a range sort with per-partition counts, so no task sees
-    all slides: the sort is distributed and only partition totals are added up.
+    Slides are numbered within ranges of ``order`` and the counts of the ranges before are added, so no task sees
+    all slides. A range is told by a slide's own value and bounds that are fixed here: partition numbers of a
+    sort differ between the branches of a plan that count and number them.
     """
-    ordered = slides.sort(order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq"))
-    from pyspark.sql import Window
-
-    ordered = ordered.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy("_seq")))
-    totals = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    out = ordered.join(F.broadcast(before), "_part")
-    return out.withColumn("batch_no", F.floor((F.col("_before") + F.col("_row") - 1) / size)).drop("_part", "_seq", "_row", "_before")
+    spark = slides.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    known = slides.select(order).where(F.col(order).isNotNull())
+    drawn = sorted(r[0] for r in known.orderBy(F.xxhash64(order)).limit(DRAWN * parts).collect())
+    bounds = sorted(set(drawn[DRAWN::DRAWN]))
+    placed = slides.withColumn("_part", _part_of(order, bounds))
+    totals = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = totals.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_part").orderBy(F.col(order).asc_nulls_last(), *[c for c in slides.columns if c != order])
+    out = placed.withColumn("_row", F.row_number().over(within)).join(F.broadcast(before), "_part")
+    return out.withColumn("batch_no", F.floor((F.col("_before") + F.col("_row") - 1) / size)).drop("_part", "_row", "_before")
