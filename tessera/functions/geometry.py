@@ -81,6 +81,12 @@ def area(points: Column) -> Column:
     return F.abs(twice).cast("double") / 2.0
 
 
+def area_of(corners: list[tuple[Column, Column]]) -> Column:
+    """``area`` of a polygon whose number of corners is known, without an array, so that its code is compiled."""
+    twice = [a[0] * b[1] - b[0] * a[1] for a, b in zip(corners, corners[1:] + corners[:1])]
+    return F.abs(sum(twice[1:], twice[0])).cast("double") / 2.0
+
+
 def bounds(points: Column) -> Column:
     """struct(x, y, w, h): least corner and sizes that count both ends."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
@@ -110,6 +116,34 @@ def _odd(edges: Column, x: Column, y: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
+def row_of(edges: Column, y: Column) -> Column:
+    """struct(cuts, on) of a polygon and a row: all that decides about the row's points with whole coordinates.
+
+    A point is inside if an odd number of ``cuts`` is above its x, and on an edge if a span of ``on`` holds it.
+    """
+    slope = lambda e: (e["bx"] - e["ax"]).cast("double") * (y - e["ay"]).cast("double") / (e["by"] - e["ay"]).cast("double")
+    cuts = F.transform(F.filter(edges, lambda e: (e["ay"] > y) != (e["by"] > y)), lambda e: e["ax"] + F.ceil(slope(e)))
+
+    def meets(e: Column) -> Column:
+        whole = F.when(e["ay"] == e["by"], True).otherwise((e["bx"] - e["ax"]) * (y - e["ay"]) % F.when(e["ay"] != e["by"], e["by"] - e["ay"]) == 0)
+        return (F.least(e["ay"], e["by"]) <= y) & (F.greatest(e["ay"], e["by"]) >= y) & whole
+
+    def span(e: Column) -> Column:
+        level = e["ay"] == e["by"]
+        low = F.when(level, F.least(e["ax"], e["bx"])).otherwise(e["ax"] + slope(e).cast("bigint"))
+        return F.struct(low.alias("low"), F.when(level, F.greatest(e["ax"], e["bx"])).otherwise(low).alias("high"))
+
+    return F.struct(cuts.alias("cuts"), F.transform(F.filter(edges, meets), span).alias("on"))
+
+
+def row_inside(row: Column, x: Column) -> Column:
+    return F.size(F.filter(row["cuts"], lambda c: c > x)) % 2 == 1
+
+
+def row_on(row: Column, x: Column) -> Column:
+    return F.exists(row["on"], lambda s: (s["low"] <= x) & (s["high"] >= x))
+
+
 def touches(edges: Column, x: Column, y: Column) -> Column:
     """Inside the polygon or on its edge."""
     return _on(edges, x, y) | _odd(edges, x, y)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = {"fx_slides": ["part"], "fx_mpp_csv": ["supplier"], "fx_outputs": ["lineitem"]}
+#: Tables that are dealt out by this key before slides are made of them.
+KEYS = {"part": "p_partkey"}
 NEEDS = {"fx_levels": ["fx_slides"], "fx_props": ["fx_slides"], "fx_contours": ["fx_slides"], "fx_holes": ["fx_slides"]}
 
 SQL = {
@@ -51,10 +53,18 @@ FROM lineitem GROUP BY l_orderkey, l_returnflag""",
 }
 
 
+def dealt(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` to all cores. A slide is a few bytes here and much work later: a file of millions is one task
+    otherwise, and a number that is given is not coalesced. What is grouped or joined by slide later stays where it is."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, key)
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture ``name`` over the tables below ``sf_dir``."""
     for table in TABLES.get(name, []):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        (dealt(spark, rows, KEYS[table]) if table in KEYS else rows).createOrReplaceTempView(table)
     for other in NEEDS.get(name, []):
         fixture(spark, sf_dir, other).createOrReplaceTempView(other)
     return spark.sql(SQL[name])
