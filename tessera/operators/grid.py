@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import bounds, edges_at, edges_of, strictly_inside, touches
+from tessera.functions.geometry import bounds, edges_of, row_inside, row_of, row_on
 
 PASSPORT_CHARS = 160
 
@@ -27,27 +29,31 @@ def tissue_grid(contours: DataFrame, step: str = "step_src", patch: str = "patch
     ``contours`` has points and holes (an array of polygons). A patch counts if
     its centre is not strictly inside a hole and one of four probes, a quarter
     of the patch off the centre on both axes, is in the contour or on its edge.
-    Only the edges that a probe's row meets can decide, and they are the same
-    for all points of a row, so they are found before the row is spread out.
+    Where a probe's row crosses and touches the edges is the same for all points of
+    the row, so that is found before the row is spread out; a point is only compared with these places.
     """
     half = F.floor(F.col(patch) / 2).cast("bigint")
     quarter = F.floor(half * F.lit(0.5)).cast("bigint")
-    base = contours.where((F.size("points") > 0) & (F.col(step) > 0)).withColumns({"_box": bounds(F.col("points")), "_edges": edges_of(F.col("points")), "_half": half, "_q": quarter})
-    rows = base.withColumn("y", F.explode(F.sequence(F.col("_box.y"), F.col("_box.y") + F.col("_box.h") - 1, F.col(step)))).withColumn("_cy", F.col("y") + F.col("_half"))
-    no_holes = F.array().cast("array<array<struct<ax:bigint,ay:bigint,bx:bigint,by:bigint>>>")
-    holes = F.filter(F.transform(F.coalesce("holes", F.array().cast("array<array<struct<x:bigint,y:bigint>>>")), lambda h: edges_at(edges_of(h), F.col("_cy"))), lambda h: F.size(h) > 0)
-    rows = rows.withColumns({
-        "_above": edges_at(F.col("_edges"), F.col("_cy") - F.col("_q")),
-        "_below": edges_at(F.col("_edges"), F.col("_cy") + F.col("_q")),
-        "_holes": F.coalesce(holes, no_holes),
-    })
-    rows = rows.where((F.size("_above") > 0) | (F.size("_below") > 0)).drop("_edges", "points", "holes")
+    polygons = F.coalesce("holes", F.array().cast("array<array<struct<x:bigint,y:bigint>>>"))
+    found = {"_box": bounds(F.col("points")), "_edges": edges_of(F.col("points")), "_gaps": F.transform(polygons, edges_of), "_half": half, "_q": quarter}
+    base = _once(contours.where((F.size("points") > 0) & (F.col(step) > 0)), found, ["points", "holes"])
+    rows = base.withColumn("y", F.explode(F.sequence(F.col("_box.y"), F.col("_box.y") + F.col("_box.h") - 1, F.col(step))))
+    cy = F.col("y") + F.col("_half")
+    gaps = F.filter(F.transform("_gaps", lambda h: row_of(h, cy)), lambda r: F.size(r["cuts"]) > 0)
+    rows = _once(rows, {"_above": row_of(F.col("_edges"), cy - F.col("_q")), "_below": row_of(F.col("_edges"), cy + F.col("_q")), "_holes": gaps}, ["_edges", "_gaps"])
+    rows = rows.where(" or ".join(f"size({r}.{part}) > 0" for r in ("_above", "_below") for part in ("cuts", "on")))
     spread = rows.withColumn("x", F.explode(F.sequence(F.col("_box.x"), F.col("_box.x") + F.col("_box.w") - 1, F.col(step))))
-    spread = spread.withColumns({"_l": F.col("x") + F.col("_half") - F.col("_q"), "_r": F.col("x") + F.col("_half") + F.col("_q"), "_cx": F.col("x") + F.col("_half")})
-    probes = [touches(F.col(e), F.col(px), F.col("_cy") + sign * F.col("_q")) for e, sign in (("_above", -1), ("_below", 1)) for px in ("_l", "_r")]
-    in_hole = F.exists("_holes", lambda h: strictly_inside(h, F.col("_cx"), F.col("_cy")))
-    kept = spread.where(~in_hole & (probes[0] | probes[1] | probes[2] | probes[3]))
-    return kept.drop("_box", "_half", "_q", "_cy", "_cx", "_l", "_r", "_above", "_below", "_holes")
+    centre = F.col("x") + F.col("_half")
+    probes = [test(F.col(r), centre + sign * F.col("_q")) for test in (row_inside, row_on) for r in ("_above", "_below") for sign in (-1, 1)]
+    in_hole = F.exists("_holes", lambda h: row_inside(h, centre) & ~row_on(h, centre))
+    kept = spread.where(reduce(Column.__or__, probes)).where(~in_hole)
+    return kept.drop("_box", "_half", "_q", "_above", "_below", "_holes")
+
+
+def _once(rows: DataFrame, found: dict[str, Column], gone: list[str]) -> DataFrame:
+    """``rows`` with the columns ``found`` and without ``gone``. The new ones are the only row of a generator, behind which filters and later columns do not compute them again."""
+    kept = [c for c in rows.columns if c not in gone]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in found.items()]))))
 
 
 def with_ordinals(patches: DataFrame, slide: str = "slide_id") -> DataFrame:
